@@ -1,10 +1,12 @@
 """The queries of this subpackage, and their SQL where SQL can express them on whole tables."""
 
+from proselens.llm.simhash import op3_simhash
 from proselens.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from proselens.llm.suffix_dedup import op10_suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_simhash": op3_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 

@@ -125,7 +125,8 @@ def minimisers(u: Units, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.
     ends = np.append(starts[1:], n)
     starts, ends, which = starts[ok], ends[ok], which[ok]
     ends = np.minimum(ends, last[which] + 1)
-    return low[starts], starts, ends - starts, rows[which]
+    # A minimum is small; mixing makes the keys even again, and each still stands for one hash.
+    return _mix(low[starts]), starts, ends - starts, rows[which]
 
 
 def _ordered(t: pa.Table, id_col: str, text_col: str) -> tuple[pa.Table, list[bytes], np.ndarray]:
