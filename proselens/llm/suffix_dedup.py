@@ -15,22 +15,24 @@ from proselens.llm.common import table
 from proselens.llm.windows import byte_units, remove_repeats
 
 
-def _order(cols: list[np.ndarray], base: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def _order(cols: list[np.ndarray], base: int, kind: str | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
     """Sorting order of the rows of cols (most significant first), and one packed key or the cols if too wide."""
     if base ** len(cols) < 1 << 63:
         key = cols[0].astype(np.int64)
         for c in cols[1:]:
             key = key * base + c
-        return np.argsort(key, kind="stable"), [key]
+        return np.argsort(key, kind=kind), [key]
     return np.lexsort(cols[::-1]), cols
 
 
-def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffixes of s (small non-negative integers) in order."""
+def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Suffixes of s (non-negative integers) in order; with a depth, in order of at least so many leading symbols."""
     n = len(s)
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    s = np.concatenate([np.unique(s, return_inverse=True)[1].astype(np.int64) + 1, np.zeros(3, np.int64)])
+    seen = np.zeros(int(s.max()) + 1, bool)
+    seen[s] = True
+    s = np.concatenate([np.cumsum(seen)[s], np.zeros(3, np.int64)])
     base = int(s.max()) + 2
     # With n = 1 mod 3 an empty triple ends the first class, so that the two halves of the recursion can't run together.
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
@@ -39,18 +41,21 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     new = np.zeros(len(order), bool)
     for k in key:
         new[1:] |= k[order[1:]] != k[order[:-1]]
-    names = np.empty(len(order), np.int64)
-    names[order] = np.cumsum(new) + 1
-    if new.sum() + 1 < len(order):
+    level = np.cumsum(new) + 1
+    if int(level[-1]) < len(order) and (depth is None or depth > 3):
+        names = np.empty(len(order), np.int64)
+        names[order] = level
         # A separator between the halves ends each suffix of the first class at the first class's end.
-        inner = suffix_array(np.concatenate([names[: len(one)], [0], names[len(one) :]]))
+        inner = suffix_array(np.concatenate([names[: len(one)], [0], names[len(one) :]]), depth and -(-depth // 3))
         inner = inner[inner != len(one)]
         order = np.where(inner > len(one), inner - 1, inner)
+        level = np.arange(1, len(order) + 1)
+    # Where the depth ends the recursion, triples with equal names keep equal ranks.
     rank = np.zeros(n + 3, np.int64)
-    rank[sample[order]] = np.arange(1, len(order) + 1)
+    rank[sample[order]] = level
     top = max(base, len(order) + 2)
     zero = np.arange(0, n, 3)
-    zero = zero[_order([s[zero], rank[zero + 1]], top)[0]]
+    zero = zero[_order([s[zero], rank[zero + 1], rank[zero + 2]], top)[0]]
     ones, twos = sample[order], sample[order]
     ones, twos = ones[(ones % 3 == 1) & (ones < n)], twos[twos % 3 == 2]
     before = np.arange(len(zero))
@@ -58,7 +63,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         both = np.concatenate([other, zero])
         by = [s[both], rank[both + 1]] if cols == 1 else [s[both], s[both + 1], rank[both + 2]]
         place = np.empty(len(both), np.int64)
-        place[_order(by, top)[0]] = np.arange(len(both))
+        place[_order(by, top, "stable")[0]] = np.arange(len(both))  # two sorted runs: a merge
         before = before + place[len(other) :] - np.arange(len(zero))
     out = np.empty(n, np.int64)
     free = np.ones(n, bool)
@@ -76,7 +81,7 @@ def neighbours(payloads: list[bytes], docs: list[int], size: int) -> list[np.nda
     ends = np.cumsum(length)
     of = np.repeat(np.arange(len(payloads)), length)
     raw = np.frombuffer(data + bytes(size), np.uint8)
-    sa = suffix_array(raw[: len(data)])
+    sa = suffix_array(raw[: len(data)], size)
     sa = sa[sa + size <= ends[of[sa]]]
     word = raw.astype(np.uint64)
     for s in (1, 2, 4):

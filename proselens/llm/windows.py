@@ -28,9 +28,8 @@ from pyspark.sql import types as T
 
 from proselens.llm.common import parts_for, text_bytes
 
-BLOCK, ROW = "__block", "__row"
+BLOCK = "__block"
 NO_ID = np.iinfo(np.int64).max
-_OCC = np.dtype([("row", "<i4"), ("start", "<i4"), ("doc", "<i8")])
 _SPAN = np.dtype([("row", "<i4"), ("start", "<i4"), ("end", "<i4")])
 
 
@@ -216,10 +215,19 @@ def remove_repeats(
         bits = np.split(shared, np.cumsum([len(x) for x in got])[:-1])
         return pa.table({BLOCK: t.column(BLOCK), "bucket": t.column("bucket"), "bits": pa.array([np.packbits(x).tobytes() for x in bits], pa.binary()), "n": pa.array([len(x) for x in bits], pa.int64())})
 
-    strings_schema = pa.schema([("bucket", pa.int64()), (BLOCK, pa.int64()), ("low", pa.int64()), ("text", pa.binary()), ("doc", pa.int64()), ("occ", pa.binary())])
+    def pack(lists: list[bytes]) -> tuple[bytes, bytes]:
+        return np.array([len(x) for x in lists], "<u4").tobytes(), b"".join(lists)
+
+    def unpack(sizes: bytes, data: bytes) -> list[bytes]:
+        ends = np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    sent_fields = ["lows", "sizes", "texts", "counts", "occ_row", "occ_start", "occ_doc"]
+    sent_schema = pa.schema([("bucket", pa.int64()), (BLOCK, pa.int64()), *[(c, pa.binary()) for c in sent_fields]])
 
     def strings(key, t, answers):
-        empty = strings_schema.empty_table()
+        """One row for each bucket: its strings end to end, and where each stands."""
+        empty = sent_schema.empty_table()
         if not t.num_rows or not answers.num_rows:
             return empty
         u, ids, (low, start, count, row) = runs(t)
@@ -229,65 +237,81 @@ def remove_repeats(
         low = low >> np.uint64(1)
         take = np.flatnonzero(shared[np.searchsorted(keys, low)])
         low, start, count, row = low[take], start[take], count[take], row[take]
-        places, found, kept, doc_of = [], {}, [], ids[row]
+        # Windows in order of bucket and minimiser, so that each bucket's strings are one slice.
+        order = np.argsort(low, kind="stable")
+        low, start, count, row = low[order], start[order], count[order], row[order]
+        found: dict[bytes, int] = {}
+        places, kept = np.empty(len(low), np.int64), []
         for i, (a, c) in enumerate(zip(start.tolist(), count.tolist())):
-            text = u.cut(a, a + c + size - 1)
-            j = found.setdefault(text, len(found))
+            j = places[i] = found.setdefault(u.cut(a, a + c + size - 1), len(found))
             if j == len(kept):
                 kept.append(i)
-            places.append(j)
         if not kept:
             return empty
-        places = np.array(places)
         order = np.argsort(places, kind="stable")
-        heads = np.searchsorted(places[order], np.arange(len(kept)))
-        occ = np.empty(len(order), _OCC)
-        occ["row"], occ["start"], occ["doc"] = row[order], (start - u.first[row])[order], doc_of[order]
-        smallest = np.minimum.reduceat(doc_of[order], heads)
-        raw, ends = occ.tobytes(), np.append(heads[1:], len(order)) * _OCC.itemsize
-        lows = low[kept]
-        return pa.table(
-            [_bucket(lows, n_strings).astype(np.int64), np.full(len(kept), key[0].as_py(), np.int64), lows.astype(np.int64), pa.array(list(found), pa.binary()), smallest, pa.array([raw[a * _OCC.itemsize : b] for a, b in zip(heads.tolist(), ends.tolist())], pa.binary())],
-            schema=strings_schema,
-        )
+        heads = np.append(np.searchsorted(places[order], np.arange(len(kept))), len(order))
+        row, start = row[order], start[order]
+        lows, texts = low[kept], list(found)
+        bucket = _bucket(lows, n_strings).astype(np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist()
+        rows = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            x, y = heads[a], heads[b]
+            occ = row[x:y], start[x:y] - u.first[row[x:y]], ids[row[x:y]]
+            rows.append((bucket[a], key[0].as_py(), lows[a:b].tobytes(), *pack(texts[a:b]), np.diff(heads[a : b + 1]).astype("<u4").tobytes(), occ[0].astype("<u4").tobytes(), occ[1].astype("<u4").tobytes(), occ[2].astype("<i8").tobytes()))
+        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows), sent_schema.types)], schema=sent_schema)
 
     def judge(key, t):
-        t = t.sort_by("low")
-        lows, texts, docs_, blocks, occs = t.column("low").to_numpy(), t.column("text").to_pylist(), t.column("doc").to_numpy(), t.column(BLOCK).to_pylist(), t.column("occ").to_pylist()
-        heads = np.flatnonzero(np.concatenate([[True], lows[1:] != lows[:-1]])).tolist() + [len(texts)]
-        level = docs_.copy()  # rows of minimisers with one string: each window's smallest id is the string's
+        cols = {c: t.column(c).to_pylist() for c in [BLOCK, *sent_fields]}
+        lows = np.concatenate([np.frombuffer(x, "<u8") for x in cols["lows"]])
+        texts = [x for s, d in zip(cols["sizes"], cols["texts"]) for x in unpack(s, d)]
+        counts = np.concatenate([np.frombuffer(x, "<u4") for x in cols["counts"]]).astype(np.int64)
+        row, start, doc = (np.concatenate([np.frombuffer(x, k) for x in cols[c]]).astype(np.int64) for c, k in (("occ_row", "<u4"), ("occ_start", "<u4"), ("occ_doc", "<i8")))
+        block = np.repeat(np.array(cols[BLOCK]), [len(x) // 4 for x in cols["occ_row"]])
+        heads = np.cumsum(counts) - counts
+        least = np.minimum.reduceat(doc, heads)
+        units_in = np.array([len(x) if units is byte_units else x.count(b" ") + 1 for x in texts])
+        order = np.argsort(lows, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(lows[order]) != 0, [True]])).tolist()
+        order = order.tolist()
         mixed: dict[bytes, int] = {}
-        of_row: dict[int, int] = {}
         first: list[int] = []
-        for a, b in zip(heads[:-1], heads[1:]):
-            if b - a > 1 and any(texts[i] != texts[a] for i in range(a + 1, b)):
-                for i in range(a, b):
-                    j = of_row[i] = mixed.setdefault(texts[i], len(mixed))
-                    if j == len(first):
-                        first.append(int(docs_[i]))
-                    first[j] = min(first[j], int(docs_[i]))
-            else:
-                level[a:b] = docs_[a:b].min()
+        which = np.full(len(texts), -1)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b - a == 1:
+                continue
+            some = order[a:b]
+            if all(texts[i] == texts[some[0]] for i in some):
+                least[some] = least[some].min()  # one string in all: each of its windows has the same smallest id
+                continue
+            for i in some:
+                j = which[i] = mixed.setdefault(texts[i], len(mixed))
+                if j == len(first):
+                    first.append(int(least[i]))
+                first[j] = min(first[j], int(least[i]))
         lowest = equal(list(mixed), first, size) if mixed else []
-        out: dict[int, list[tuple[int, int, int]]] = {}
-        for i, packed in enumerate(occs):
-            got = np.frombuffer(packed, _OCC).tolist()
-            put = out.setdefault(blocks[i], [])
-            if i in of_row:
-                low = lowest[of_row[i]]
-                least = int(low.min())
-                for row, start, doc in got:
-                    if doc > least:
-                        hit = np.flatnonzero(np.diff(np.concatenate([[0], (low < doc).view(np.int8), [0]]))).tolist()
-                        put.extend((row, start + a, start + b + size - 1) for a, b in zip(hit[::2], hit[1::2]))
-            else:
-                put.extend((row, start, -i) for row, start, doc in got if doc > level[i])
-        wide = {}
-        for i, text in enumerate(texts):
-            if i not in of_row:
-                wide[i] = len(text) if units is byte_units else text.count(b" ") + 1
-        rows = {b: np.array([(r, s, e if e > 0 else s + wide[-e]) for r, s, e in v], _SPAN).tobytes() for b, v in out.items() if v}
-        return pa.table({BLOCK: pa.array(list(rows), pa.int64()), "spans": pa.array(list(rows.values()), pa.binary())})
+        of = np.repeat(np.arange(len(texts)), counts)
+        plain = np.flatnonzero((which[of] < 0) & (doc > least[of]))
+        spans = [np.stack([block[plain], row[plain], start[plain], start[plain] + units_in[of[plain]]], 1)]
+        low_of = np.array([x.min() for x in lowest], np.int64)
+        high_of = np.array([x.max() for x in lowest], np.int64)
+        other = np.flatnonzero(which[of] >= 0)
+        w = which[of[other]]
+        whole = other[doc[other] > high_of[w]] if len(other) else other
+        spans.append(np.stack([block[whole], row[whole], start[whole], start[whole] + units_in[of[whole]]], 1))
+        part = other[(doc[other] > low_of[w]) & (doc[other] <= high_of[w])] if len(other) else other
+        more = []
+        for i, j, d, b, r, s in zip(part.tolist(), which[of[part]].tolist(), doc[part].tolist(), block[part].tolist(), row[part].tolist(), start[part].tolist()):
+            hit = np.flatnonzero(np.diff((lowest[j] < d).view(np.int8), prepend=0, append=0)).tolist()
+            more.extend((b, r, s + x, s + y + size - 1) for x, y in zip(hit[::2], hit[1::2]))
+        if more:
+            spans.append(np.array(more, np.int64))
+        spans = np.concatenate(spans)
+        spans = spans[np.argsort(spans[:, 0], kind="stable")]
+        cuts = np.flatnonzero(np.diff(spans[:, 0], prepend=-1, append=-1)).tolist() if len(spans) else [0]
+        packed = np.empty(len(spans), _SPAN)
+        packed["row"], packed["start"], packed["end"] = spans[:, 1], spans[:, 2], spans[:, 3]
+        return pa.table({BLOCK: pa.array([int(spans[a, 0]) for a in cuts[:-1]], pa.int64()), "spans": pa.array([packed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
 
     kept_fields = [*[docs.schema[c] for c in own], T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())]
 
@@ -314,6 +338,6 @@ def remove_repeats(
 
     told = dealt.groupBy(BLOCK).applyInArrow(announce, f"bucket long, {BLOCK} long, keys binary")
     told = told.groupBy("bucket").applyInArrow(answer, f"{BLOCK} long, bucket long, bits binary, n long")
-    sent = dealt.groupBy(BLOCK).cogroup(told.groupBy(BLOCK)).applyInArrow(strings, f"bucket long, {BLOCK} long, low long, text binary, doc long, occ binary")
+    sent = dealt.groupBy(BLOCK).cogroup(told.groupBy(BLOCK)).applyInArrow(strings, ", ".join([f"bucket long, {BLOCK} long", *[f"{c} binary" for c in sent_fields]]))
     found = sent.groupBy("bucket").applyInArrow(judge, f"{BLOCK} long, spans binary")
     return dealt.groupBy(BLOCK).cogroup(found.groupBy(BLOCK)).applyInArrow(cut, T.StructType(kept_fields))

@@ -76,3 +76,19 @@ def test_suffix_array():
             s = np.array([r.randrange(letters) for _ in range(n)], np.int64)
             want = sorted(range(n), key=lambda i: s[i:].tolist())
             assert suffix_dedup.suffix_array(s).tolist() == want, (n, letters)
+
+
+def test_suffix_array_to_a_depth():
+    r = random.Random(1)
+    for depth in (3, 7, 20):
+        for _ in range(20):
+            part = [r.randrange(3) for _ in range(40)]
+            s = np.array((part * 9)[: r.randrange(5, 330)] + [r.randrange(3) for _ in range(30)], np.int64)
+            got = [s[i : i + depth].tolist() for i in suffix_array_of(s, depth)]
+            assert got == sorted(got)
+
+
+def suffix_array_of(s, depth):
+    out = suffix_dedup.suffix_array(s, depth).tolist()
+    assert sorted(out) == list(range(len(s)))
+    return out
