@@ -55,16 +55,18 @@ def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
     rank[sample[order]] = level
     top = max(base, len(order) + 2)
     zero = np.arange(0, n, 3)
-    zero = zero[_order([s[zero], rank[zero + 1], rank[zero + 2]], top)[0]]
+    zero = zero[_order([s[zero], rank[zero + 1]], top)[0]]
     ones, twos = sample[order], sample[order]
     ones, twos = ones[(ones % 3 == 1) & (ones < n)], twos[twos % 3 == 2]
     before = np.arange(len(zero))
     for other, cols in ((ones, 1), (twos, 2)):
         both = np.concatenate([other, zero])
         by = [s[both], rank[both + 1]] if cols == 1 else [s[both], s[both + 1], rank[both + 2]]
-        place = np.empty(len(both), np.int64)
-        place[_order(by, top, "stable")[0]] = np.arange(len(both))  # two sorted runs: a merge
-        before = before + place[len(other) :] - np.arange(len(zero))
+        merged = _order(by, top, "stable")[0]  # two sorted runs: a merge
+        count = np.empty(len(both), np.int64)
+        count[merged] = np.cumsum(merged < len(other))
+        # Below the depth ties stand in any order; the running maximum keeps places apart without leaving the tie.
+        before = before + np.maximum.accumulate(count[len(other) :])
     out = np.empty(n, np.int64)
     free = np.ones(n, bool)
     free[before] = False
