@@ -18,7 +18,7 @@ BOILERPLATE = r"(?i)\b(cookies? (policy|settings|consent)|privacy policy|terms o
 #: A line of separated labels, such as Home | News | Contact, or a trail of arrows.
 NAVIGATION = r"^[^.!?]{1,40}(\s*[|»›>•·/]\s*[^.!?|»›>•·/]{1,40}){2,}$"
 #: Marks repeated (!!, ??, %%%, ***) and runs of symbols are no punctuation of prose.
-NOISE = r"[!?]{2,}|[#*$%&|<>]{2,}"
+NOISE = r"[!?]{2,}|[#*$%&|<>]{2,}|(?<=\s)\|(?=\s|$)"
 ENDS = r"[.!?…:;,。！？]['\"”’»)\]]*$"
 
 
@@ -74,3 +74,24 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's base figures and the verdict of the line rules."""
     out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars")
+
+
+OP5_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, string_split(t, chr(10)) AS ls FROM t),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 7)) AS i FROM w WHERE len(ws) >= 8)),
+two AS (SELECT doc_id, i, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8) AS step FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, sum(least(step, 8))::BIGINT AS n FROM two GROUP BY doc_id),
+ln AS (SELECT doc_id, unnest(ls) AS l FROM w),
+lc AS (SELECT doc_id, l, len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM ln WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+bad AS (SELECT doc_id, l, (len(regexp_extract_all(l, '[!?]{2,}|[#*$%&|<>]{2,}')) + len(regexp_extract_all(replace(l, ' | ', ' |  '), '(^|[\x20\x09-\x0D])\|([\x20\x09-\x0D]|$)')) - (CASE WHEN starts_with(l, '|') THEN 1 ELSE 0 END)) * 5 > n
+  OR (NOT regexp_matches(right(rtrim(l, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)), 4), '[.!?…:;,。！？][''"”’»)\]]*$') AND n >= 12 AND NOT regexp_matches(l, '[.!?;:,]'))
+  OR (n <= 40 AND regexp_matches(l, '^[^.!?]{1,40}(\s*[|»›>•·/]\s*[^.!?|»›>•·/]{1,40}){2,}$'))
+  OR (n <= 30 AND regexp_matches(l, '(?i)\b(cookies? (policy|settings|consent)|privacy policy|terms of (use|service)|all rights reserved|enable javascript|lorem ipsum|sign (in|up) (to|for)|log ?in to|subscribe to our|share (this|on) |click here|read more|back to top|powered by)\b')) AS f FROM lc),
+kc AS (SELECT doc_id, sum(CASE WHEN f THEN 0 ELSE length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) END)::BIGINT AS k FROM bad GROUP BY doc_id),
+b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(k, 0)::BIGINT AS kept_chars
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN kc USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND kept_chars >= 0.5 * word_chars AS kept, kept_chars FROM b
+"""
