@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more stay in one document only; texts that lose nothing stay as they are."""
     out = substring_dedup.dedup(docs)
-    text = F.when(F.col("n_removed") > 0, F.decode("kept", F.lit("UTF-8"))).otherwise(F.col("text"))
+    text = F.when(F.col("n_removed") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text"))
     return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
 
 

@@ -45,7 +45,13 @@ def count_tokens(docs: DataFrame, model: str) -> DataFrame:
             which.extend([numbers.setdefault(w, len(numbers)) for w in c])
             freq.extend(c.values())
             doc.extend(repeat(d, len(c)))
-        which, doc, freq = np.array(which, np.int64), np.array(doc, "<u2"), np.array(freq, "<u4")
+        which, doc, freq = np.array(which, np.int64), np.array(doc, "<u2"), np.array(freq, np.int64)
+        # One byte a frequency; what is over 255 becomes further entries of the same pair.
+        parts = np.maximum(-(-freq // 255), 1)
+        which, doc = np.repeat(which, parts), np.repeat(doc, parts)
+        rest = np.full(len(which), 255, np.uint8)
+        rest[np.cumsum(parts) - 1] = freq - 255 * (parts - 1)
+        freq = rest
         order = np.argsort(which, kind="stable")
         heads = np.searchsorted(which[order], np.arange(len(numbers) + 1))
         doc, freq = doc[order], freq[order]
@@ -64,7 +70,7 @@ def count_tokens(docs: DataFrame, model: str) -> DataFrame:
         for r, ws in zip(rows, words):
             each = np.repeat(np.array([n[w] for w in ws], np.int64), np.frombuffer(r["a"], "<u4"))
             doc = np.frombuffer(r["b"], "<u2")
-            total = np.bincount(doc, each * np.frombuffer(r["c"], "<u4"))
+            total = np.bincount(doc, each * np.frombuffer(r["c"], np.uint8))
             some = np.flatnonzero(total)
             r["keys"] = b""
             yield some.astype("<u2").tobytes(), total[some].astype("<i8").tobytes(), b""
