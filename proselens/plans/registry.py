@@ -12,7 +12,6 @@ HAN = "[一-鿿]"
 WIDE = "[一-鿿㐀-䶿豈-﫿]"
 LEXICON = ["危险", "危机", "不安", "平静", "宁静", "沉思", "似乎", "平和", "危险"]
 RULES = [("redundancy", "不安", "warn", None), ("cliche", "危机", "ban", None), ("weasel", "似乎", "info", None), ("adverb_abuse", "平静", "warn", 8.0), ("dialogue_tags", "沉思", "ban", 2.0)]
-MARKS = [*V.TIMES, (r"(\d+)首", "days_later"), ("机平", "time_skip"), ("思平", "same_day")]
 
 #: Operators that fit one call on documents.
 ON_DOCUMENTS = {
@@ -33,8 +32,6 @@ ON_DOCUMENTS = {
     "ln01_lint": lambda d: style.lint(d, RULES),
     "em01_windows": emotion.curve,
     "em05_arcs": emotion.arcs,
-    "cn07_time_marks": lambda d: consistency.time_marks(d, MARKS[20:]),
-    "cn08_time_issues": lambda d: consistency.time_issues(d, patterns=MARKS),
     "bb08_hints": consistency.hints,
 }
 
@@ -107,8 +104,6 @@ LINT = " UNION ALL ".join(
 LINTS = f"l AS (SELECT doc_id, book, x, i FROM (SELECT doc_id, book, string_split(t, chr(10)) AS ls FROM h), unnest(ls) WITH ORDINALITY AS u(x, i)), li AS ({LINT})"
 DENSE = f"greatest({N(HAN)}, 1)::DOUBLE"
 SPOKEN = "array_to_string(regexp_extract_all(t, '「([^」]*)」', 1), '') || array_to_string(regexp_extract_all(t, '“([^”]*)”', 1), '')"
-MARKED = lambda ms, at: " UNION ALL ".join(f"SELECT doc_id, {k} AS ord, '{tag}' AS tag, regexp_extract_all(t, '(?s)(.*?)({p.replace('(', '(?:')})', 1) AS g, regexp_extract_all(t, '(?s)(.*?)({p.replace('(', '(?:')})', 2) AS m FROM h" for k, (p, tag) in enumerate(ms[at:]))
-TIMES = lambda ms, at: f"tm AS ({MARKED(ms, at)}), ti AS (SELECT doc_id, ord, tag, g, m, unnest(generate_series(1, len(g))) AS i FROM tm WHERE len(g) > 0), tk AS (SELECT doc_id, coalesce(list_sum(list_transform(g[1:i - 1], lambda x: length(x))), 0)::INT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::INT + length(g[i])::INT AS position, ord, tag FROM ti)"
 ONCE = lambda ws: " + ".join(f"contains(t, '{w}')::INT" for w in ws)
 PAT = lambda k: " + ".join(N(p) for c, p in V.WEASEL_PATTERNS if c == k)
 ORDERS = "i AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem), pr AS (SELECT x.s AS a, y.s AS b FROM i x JOIN i y USING (o) WHERE x.s <> y.s AND (x.s + y.s + o) % 2 = 0), g AS (SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS weight, count(*) AS times FROM pr GROUP BY ALL)"
@@ -123,14 +118,10 @@ SQL = {
     "sl05_structures": f"WITH {H}, {STRUCT} SELECT doc_id, len(f) AS structure_pattern_count, array_to_string(f, ',') AS structure_patterns FROM st",
     "sl08_blacklist_hits": f"WITH {H}, {BL} SELECT doc_id, hits AS blacklist_total_hits, dens AS blacklist_density FROM bl",
     "sl08_top_words": f"WITH {H}, x AS ({' UNION ALL '.join(f'SELECT doc_id, {chr(39)}{w}{chr(39)} AS word, {COUNT(w)} AS n FROM h' for w in dict.fromkeys(LEXICON))}), y AS (SELECT doc_id, word, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) - 1 AS rank FROM x WHERE n > 0) SELECT doc_id, rank::INT AS rank, word, n::INT AS n FROM y WHERE rank < 3",
-    "sl09_score_ai_risk": f"WITH {H}, {DIV}, {SHAPE}, {STRUCT}, {BL}, {PHR}, s AS (SELECT dv.doc_id, {CUT('(0.6::DOUBLE - ttr) * 250::DOUBLE')} AS ttr, {CUT('(0.7::DOUBLE - sentence_len_cv) * 250::DOUBLE')} AS sentence_variance, least(100, len(f) * 20) AS structure, least(100, trunc(dens * 15::DOUBLE)::INT) AS blacklist, {CUT('(repetition_score - 0.3::DOUBLE) * 250::DOUBLE')} AS repetition, least(100, phrase_repetition_score) AS phrase_rep FROM dv JOIN sh USING (doc_id) JOIN st USING (doc_id) JOIN bl USING (doc_id) JOIN ph USING (doc_id)), z AS (SELECT *, 4 * ttr + 3 * sentence_variance + 3 * structure + 4 * blacklist + 3 * repetition + 3 * phrase_rep AS total FROM s) SELECT * EXCLUDE (total), CASE WHEN total < 600 THEN 'low' WHEN total < 1200 THEN 'middle' ELSE 'high' END AS verdict, round_even(total / 20::DOUBLE, 0)::INT AS total_score FROM z",
     "sl13_overused": f"WITH {H}, x AS ({' UNION ALL '.join(f'SELECT doc_id, {chr(39)}{w}{chr(39)} AS word, {COUNT(w)} AS count, {DENSE} AS h FROM h' for w in V.OVERUSED)}) SELECT doc_id, word, count, count * 1000 / h AS per_1k FROM x WHERE count * 1000 / h > 2.0",
     "sl14_weasel": f"WITH {H}, x AS (SELECT doc_id, {ONCE(V.WEASEL)} + {PAT('weasel')} AS weasel, {ONCE(V.HEDGE)} + {PAT('hedge')} AS hedge, {PAT('cliche_structure')} AS cliche_structure FROM h) SELECT *, weasel + hedge + cliche_structure AS total_hits FROM x",
-    "sl15_phrases": f"WITH {H}, {PHR} SELECT * FROM ph",
     "ln01_lint": f"WITH {H}, {LINTS} SELECT doc_id, \"check\", pattern, severity, line FROM li",
     "em01_windows": f"WITH {H}, x AS (SELECT doc_id, t, unnest(generate_series(0, length(t) - 500, 250)) AS a FROM h WHERE length(t) >= 500), y AS (SELECT doc_id, (a // 250)::INT AS i, t[a + 1:a + 500] AS w FROM x) SELECT doc_id, i, ({TENTHS}) * 0.7::DOUBLE / 50::DOUBLE + 0.15::DOUBLE AS intensity FROM y",
-    "cn07_time_marks": f"WITH {H}, {TIMES(MARKS, 20)} SELECT * FROM tk",
-    "cn08_time_issues": f"WITH {H}, {TIMES(MARKS, 0)}, x AS (SELECT *, lag(tag) OVER (PARTITION BY doc_id ORDER BY position, ord) AS before FROM tk) SELECT doc_id, position, before, tag FROM x WHERE tag = 'same_day' AND before IN ({', '.join(repr(x) for x in consistency.LATER)})",
     "st12_count_book": f"WITH {H}, {CHAP}, x AS (SELECT book, chapter_no, {N(WIDE)} AS n, regexp_matches(right(t, 500), '完|终|…|END') AS e FROM c) SELECT book, count(*) AS chapters, sum(n)::BIGINT AS total_chars, (sum(n) // count(*))::BIGINT AS avg_chars, arg_max(e, chapter_no) AS completed FROM x GROUP BY book",
     "st13_readout_book": f"WITH {H}, {CHAP}, x AS (SELECT book, chapter_no, 206.835::DOUBLE - 1.015::DOUBLE * ({N(WIDE)} / greatest(len({SENT(2)}), 1)::DOUBLE) - 8.46::DOUBLE AS f FROM c), y AS (SELECT book, count(*) AS chapters, regr_slope(f, chapter_no::DOUBLE) AS s FROM x GROUP BY book) SELECT book, chapters, CASE WHEN chapters >= 3 AND s > 0.3 THEN 'easier' WHEN chapters >= 3 AND s < -0.3 THEN 'harder' ELSE 'stable' END AS trend FROM y",
     "sl18_templates": f"WITH {H}, x AS (SELECT book, left(array_to_string(regexp_extract_all(t, '{HAN}+'), ''), 8) AS o, length(t) AS n FROM h), o AS (SELECT book, count(*) FILTER (c >= 2) AS repeated_openings FROM (SELECT book, o, count(*) AS c FROM x GROUP BY ALL) GROUP BY book), y AS (SELECT book, count(*) AS k, sum(n) AS a, sum(n * n) AS q FROM x GROUP BY book) SELECT book, repeated_openings, sqrt((q * k - a * a)::DOUBLE) / a AS length_cv FROM o JOIN y USING (book)",
