@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proselens.llm.common import join_hot, table
+from proselens.llm.common import checkpoint, join_hot, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path): the host and its subdomains, paths that start so.
@@ -32,36 +32,36 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]], fiel
     return out
 
 
-def _strength(groups: DataFrame, n: str, k: str, name: str) -> DataFrame:
-    """One row: the prior's strength by the method of moments (small spread: strong prior), in bounds."""
+def _strength(groups: DataFrame, n: str, k: str) -> float:
+    """The prior's strength by the method of moments (small spread: strong prior), in bounds; one number."""
     s = groups.where(F.col(n) > 0).agg(F.sum(n).alias("N"), F.sum(k).alias("K"), F.sum(F.col(n) * F.col(n)).alias("N2"), F.sum(F.col(k) * F.col(k) / F.col(n)).alias("Q"), F.count("*").alias("G"))
     p = F.col("K") / F.col("N")
     within = p * (1 - p)
     between = F.col("Q") - F.col("N") * p * p
-    rho = (between - within * (F.col("G") - 1)) / (within * (F.col("N") - F.col("N2") / F.col("N") - (F.col("G") - 1)))
-    rho = F.when((F.col("G") > 1) & (within > 0) & (F.col("N") - F.col("N2") / F.col("N") - (F.col("G") - 1) > 0), F.least(F.greatest(rho, F.lit(0.001)), F.lit(0.9)))
-    return s.select((1 / F.coalesce(rho, F.lit(0.1)) - 1).alias(name))
+    spread = within * (F.col("N") - F.col("N2") / F.col("N") - (F.col("G") - 1))
+    rho = F.when((F.col("G") > 1) & (spread > 0), F.least(F.greatest((between - within * (F.col("G") - 1)) / spread, F.lit(0.001)), F.lit(0.9)))
+    return s.select((1 / F.coalesce(rho, F.lit(0.1)) - 1).alias("m")).first()["m"]
 
 
 def reputation(pages: DataFrame, labels: DataFrame, z: float = 1.645) -> DataFrame:
-    """(host, pages, n, k, mean, bound) of every host of pages(page_id, host). labels(page_id, bad 0/1); nulls don't count."""
+    """(host, pages, n, k, mean, bound) of every host of pages(page_id, host). labels(page_id, bad 0/1); nulls don't count.
+
+    Each level is written once before the next reads it; only the three strengths and the corpus's two sums come to the driver.
+    """
     seen = pages.groupBy("host").agg(F.count("*").alias("pages"))
     marked = pages.join(labels.where(F.col("bad").isNotNull()), "page_id").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("k"))
     hosts = seen.join(marked, "host", "left").fillna(0, ["n", "k"])
     parts = F.split("host", r"\.")
-    hosts = hosts.withColumn("domain", F.when(F.size(parts) > 2, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(F.col("host"))).withColumn("suffix", F.element_at(parts, -1))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"), F.count("*").alias("dr"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"), F.count("*").alias("sr"))
-    whole = suffixes.agg(F.coalesce(F.sum("sn"), F.lit(0)).alias("an"), F.coalesce(F.sum("sk"), F.lit(0)).alias("ak"), F.coalesce(F.sum("sr"), F.lit(0)).alias("ar"))
-    whole = whole.crossJoin(_strength(hosts, "n", "k", "mh")).crossJoin(_strength(domains, "dn", "dk", "md")).crossJoin(_strength(suffixes, "sn", "sk", "ms"))
-    top = (F.col("ak") + 0.5) / (F.col("an") + 1)
-    suffixes = suffixes.crossJoin(F.broadcast(whole)).withColumn("sm", (F.col("ms") * top + F.col("sk")) / (F.col("ms") + F.col("sn"))).select("suffix", "sm", "md", "mh", "sr")
-    n_domains, n_hosts = domains.count(), hosts.count()
-    domains = join_hot(domains, suffixes, "suffix", "sr", n_domains).withColumn("dm", (F.col("md") * F.col("sm") + F.col("dk")) / (F.col("md") + F.col("dn"))).select("domain", "dm", "mh", "dr")
-    a = F.col("mh") * F.col("dm") + F.col("k")
-    all_ = F.col("mh") + F.col("n")
-    out = join_hot(hosts, domains, "domain", "dr", n_hosts).withColumn("mean", a / all_)
-    return out.withColumn("bound", F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (all_ + 1))).select("host", "pages", "n", "k", "mean", "bound")
+    hosts = checkpoint(hosts.withColumn("domain", F.when(F.size(parts) > 2, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(F.col("host"))).withColumn("suffix", F.element_at(parts, -1)))
+    domains = checkpoint(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"), F.count("*").alias("dr")))
+    suffixes = checkpoint(domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"), F.count("*").alias("sr")))
+    mh, md, ms = F.lit(_strength(hosts, "n", "k")), F.lit(_strength(domains, "dn", "dk")), F.lit(_strength(suffixes, "sn", "sk"))
+    whole = suffixes.agg(F.sum("sn").alias("n"), F.sum("sk").alias("k")).first()
+    top = ((whole["k"] or 0) + 0.5) / ((whole["n"] or 0) + 1)
+    suffixes = checkpoint(suffixes.select("suffix", ((ms * top + F.col("sk")) / (ms + F.col("sn"))).alias("sm"), "sr"))
+    domains = checkpoint(join_hot(domains, suffixes, "suffix", "sr", domains.count()).select("domain", ((md * F.col("sm") + F.col("dk")) / (md + F.col("dn"))).alias("dm"), "dr"))
+    out = join_hot(hosts, domains, "domain", "dr", hosts.count()).withColumn("mean", (mh * F.col("dm") + F.col("k")) / (mh + F.col("n")))
+    return checkpoint(out.withColumn("bound", F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (mh + F.col("n") + 1))).select("host", "pages", "n", "k", "mean", "bound"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES, limit: float = 0.5, z: float = 1.645) -> DataFrame:
