@@ -43,11 +43,12 @@ def plan(pages: DataFrame, least: int = 100) -> DataFrame:
 def write(pages: DataFrame, path: str, archive_bytes: int = 16 << 20) -> None:
     """One record for each row of pages(page_id, url, html), in archives of about archive_bytes, below path."""
     total = pages.agg(F.sum(F.octet_length("html")).alias("n")).first()["n"]
-    rows = plan(pages).dropDuplicates().withColumnRenamed("page_id", "__id").withColumnRenamed("payload_digest", "__digest")
     html = F.coalesce(F.col("html"), F.lit(""))
-    # Equal ids with different payloads are told apart by the digest.
-    all_ = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("payload_digest")).repartition(parts_for(total, archive_bytes), "page_id", "payload_digest")
-    rows = all_.join(rows, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("payload_digest") == F.col("__digest")))
+    # No key is null, and the exchange of texts has the join's keys, so they move once. Equal ids with different payloads are told apart by the digest.
+    n, key = parts_for(total, archive_bytes), F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("__key")
+    rows = plan(pages).dropDuplicates().select(key, F.col("payload_digest").alias("__digest"), "payload_bytes", "refers_to").repartition(n, "__key", "__digest")
+    all_ = pages.select(key, F.sha2(html, 256).alias("__digest"), "page_id", "url", html.alias("html")).repartition(n, "__key", "__digest")
+    rows = all_.join(rows, ["__key", "__digest"]).withColumnRenamed("__digest", "payload_digest")
     number = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     uri = F.when(F.col("url").isNotNull(), F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20"), F.lit("\r\n"))).otherwise("")
     is_response = F.col("refers_to").isNull()
