@@ -67,3 +67,39 @@ TIMES = [
 
 # Weights of the risk score.
 RISK_WEIGHTS = {"ttr": 0.20, "sentence_variance": 0.15, "structure": 0.15, "blacklist": 0.20, "repetition": 0.15, "phrase_rep": 0.15}
+
+# The emotion words that the curve of forty segments counts beside EMOTIONS.
+RHYTHM_EXTRA = {"雀跃": ("positive", 0.8), "肝肠寸断": ("negative", 0.9)}
+
+# Surnames that start a name, and the characters that may not follow one.
+SURNAMES = "王李张刘陈杨黄赵周吴徐孙马胡朱郭何罗高林郑梁谢宋唐许韩冯邓曹彭曾萧田董潘袁于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦傅方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤温康施文牛樊葛邢安齐易乔伍庞颜倪庄聂章鲁岳翟殷詹申欧耿关兰焦俞左柳甘祝包宁尚符"
+NOT_AFTER_NAME = r"，。！？、：；\"」』\)）\s"
+
+# Words of reviews, the dimension that they speak of, and whether they blame or praise.
+REVIEW_WORDS = [
+    ("节奏", "pacing", "negative"), ("拖", "pacing", "negative"), ("水文", "pacing", "negative"), ("水字数", "pacing", "negative"),
+    ("太慢", "pacing", "negative"), ("进展慢", "pacing", "negative"), ("节奏好", "pacing", "positive"), ("节奏快", "pacing", "positive"), ("爽快", "pacing", "positive"),
+    ("角色崩", "character_consistency", "negative"), ("人设崩", "character_consistency", "negative"), ("人设", "character_consistency", "negative"), ("人物崩", "character_consistency", "negative"),
+    ("性格变了", "character_consistency", "negative"), ("不出力", "character_consistency", "negative"), ("挂机", "character_consistency", "negative"),
+    ("AI", "ai_score", "negative"), ("套路", "template_score", "negative"), ("模板", "template_score", "negative"), ("刻板", "template_score", "negative"),
+    ("老套", "template_score", "negative"), ("千篇一律", "template_score", "negative"),
+    ("读不下去", "readability", "negative"), ("太绕", "readability", "negative"), ("看不懂", "readability", "negative"), ("混乱", "readability", "negative"),
+    ("费劲", "readability", "negative"), ("难读", "readability", "negative"), ("流畅", "readability", "positive"), ("好读", "readability", "positive"),
+    ("情绪", "emotion_arc", "negative"), ("平淡", "emotion_arc", "negative"), ("无聊", "emotion_arc", "negative"), ("无趣", "emotion_arc", "negative"),
+    ("没意思", "emotion_arc", "negative"), ("感人", "emotion_arc", "positive"), ("燃", "emotion_arc", "positive"), ("爽", "emotion_arc", "positive"),
+    ("啰嗦", "redundancy", "negative"), ("废话", "redundancy", "negative"), ("重复", "redundancy", "negative"), ("车轱辘", "redundancy", "negative"),
+    ("冗长", "redundancy", "negative"), ("简洁", "redundancy", "positive"),
+    ("时间混乱", "timeline", "negative"), ("时间线", "timeline", "negative"), ("bug", "timeline", "negative"), ("矛盾", "timeline", "negative"),
+    ("前后不对", "timeline", "negative"), ("穿帮", "timeline", "negative"),
+    ("跑题", "outline_deviation", "negative"), ("大纲", "outline_deviation", "negative"), ("偏离主线", "outline_deviation", "negative"), ("偏了", "outline_deviation", "negative"),
+    ("主线", "outline_deviation", "negative"), ("支线太多", "outline_deviation", "negative"), ("紧扣主线", "outline_deviation", "positive"),
+]
+REVIEW_NEGATIONS = ["少了", "没有", "不是", "避免", "不像", "没什么", "毫无", "不"]
+
+# Words that negate a rule.
+RULE_NEGATIONS = ["不", "并非", "不是", "没有", "禁止", "无法", "不可"]
+
+# Advertising in scraped chapters, the ids of their containers, and suffixes of book titles.
+NAVIGATION = ["请记住本书首发域名.*?，最快更新", "手机版阅读地址.*?", "最快更新.*?最新章节！", "笔趣阁.*?最快更新.*?无广告！", r"m\\.bqglll\\.cc", r"www\\.bqglll\\.cc", "一秒记住.*?：.*?。", "天才一秒记住.*?。"]
+CONTENT_IDS = ["chaptercontent", "content", "txt", "article", "nr1"]
+TITLE_NOISE = ["完结时间", "什么软件能看", "全文免费阅读", "免费阅读", "全文阅读", "无弹窗", "笔趣阁", "txt下载", "精校版", "最新", "全文", "完整版", "全集", "笔趣阁"]

@@ -1,38 +1,92 @@
-"""Time markers, names, coverage of points, and hints of what comes."""
+"""Time markers, names, pronouns, coverage of points, conflicts with rules, and hints of what comes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from proselens.functions import fixed_values as V
 from proselens.functions import text as T
 
-LATER = ["days_later", "months_later", "year_later", "years_later", "time_skip", "time_skip_long"]
-EARLY = ["same_day", "early_morning"]
+JUMPS = ["days_later", "months_later", "years_later"]
+LONG_JUMPS = [*JUMPS, "time_skip_long"]
+EARLY = ["same_day", "next_day", "early_morning"]
+MARK = "struct<position:int,ord:int,tag:string,value:bigint>"
+
+
+def _marks(text: Column, patterns: list[tuple[str, str]]) -> Column:
+    """Array of marks in order of place and pattern. Splitting and extracting are both linear in the text; the lengths
+    of the pieces between matches and of the matches add up to the positions."""
+
+    def places(k: int, pattern: str, tag: str) -> Column:
+        p = "(?U)" + pattern
+        pairs = F.zip_with(F.split(text, p, -1), F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h")))
+
+        def step(acc, x):
+            at = acc["at"] + x["g"]
+            value = F.regexp_extract(x["h"], r"(?U)\d+", 0).try_cast("long") if "(" in pattern else F.lit(None).cast("long")
+            mark = F.struct(at.alias("position"), F.lit(k).alias("ord"), F.lit(tag).alias("tag"), value.alias("value"))
+            return F.when(x["h"].isNull(), acc).otherwise(F.struct((at + F.length(x["h"])).alias("at"), F.concat(acc["out"], F.array(mark)).alias("out")))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{MARK}>").alias("out"))
+        found = F.aggregate(pairs, start, step)["out"]
+        return F.when(text.rlike(p), found).otherwise(F.array().cast(f"array<{MARK}>"))
+
+    return F.sort_array(F.concat(*[places(k, p, tag) for k, (p, tag) in enumerate(patterns)]))
 
 
 def time_marks(docs: DataFrame, patterns: list[tuple[str, str]] = V.TIMES) -> DataFrame:
-    """CN-7: (doc_id, position, ord, tag): every match of every pattern; the gaps before matches add up to positions."""
+    """CN-7: (doc_id, position, ord, tag, value): every match of every pattern, with its number if it has one."""
+    return docs.select("doc_id", F.explode(_marks(F.col("text"), patterns)).alias("x")).select("doc_id", "x.*")
+
+
+def time_issues(docs: DataFrame, patterns: list[tuple[str, str]] = V.TIMES) -> DataFrame:
+    """CN-8: neighbouring marks of a text that jump ahead and then fall on the same day. No shuffle."""
+    m = docs.select("doc_id", _marks(F.col("text"), patterns).alias("m"))
+    n = F.greatest(F.size("m") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("m", 1, n), F.slice("m", 2, n), lambda a, b: F.struct(b["position"].alias("position"), a["tag"].alias("before"), b["tag"].alias("tag")))
+    return m.select("doc_id", F.explode(F.filter(pairs, lambda x: x["before"].isin(JUMPS) & (x["tag"] == "same_day"))).alias("x")).select("doc_id", "x.*")
+
+
+def time_between_chapters(chapters: DataFrame, patterns: list[tuple[str, str]] = V.TIMES) -> DataFrame:
+    """CN-9: chapters(doc_id, book, chapter_no, text) whose first three marks hold an early one while the last three of
+    the chapter before hold a jump. A join on (book, number), so that a large book is not one task."""
+    tags = F.transform(_marks(F.col("text"), patterns), lambda x: x["tag"])
+    m = chapters.select("book", "chapter_no", "doc_id", tags.alias("tags")).where(F.size("tags") > 0)
+    last = F.when(F.size("tags") >= 3, F.slice("tags", -3, 3)).otherwise(F.col("tags"))
+    jump = m.where(F.arrays_overlap(last, F.array(*map(F.lit, LONG_JUMPS)))).select("book", (F.col("chapter_no") + 1).alias("chapter_no"))
+    early = m.where(F.arrays_overlap(F.slice("tags", 1, 3), F.array(*map(F.lit, EARLY)))).select("book", "chapter_no", "doc_id")
+    return early.join(jump, ["book", "chapter_no"], "left_semi")
+
+
+def names(docs: DataFrame, known: list[str]) -> DataFrame:
+    """CN-1, CN-3: (doc_id, name, n, known): a surname and one or two Han characters; unknown ones from two on."""
+    p = f"(?U)[{V.SURNAMES}]{T.HAN}{{1,2}}(?![{V.NOT_AFTER_NAME}])"
+    found = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("name"))
+    n = found.groupBy("doc_id", "name").agg(F.count("*").alias("n")).withColumn("known", F.col("name").isin(known) if known else F.lit(False))
+    return n.where("known or n >= 2")
+
+
+def surnames(docs: DataFrame) -> DataFrame:
+    """CN-1: surnames that stand alone three times or more in a text."""
+    found = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"[{V.SURNAMES}](?!{T.HAN})"), F.lit(0))).alias("surname"))
+    return found.groupBy("doc_id", "surname").agg(F.count("*").alias("n")).where("n >= 3")
 
-    def places(k: int, pattern: str, tag: str):
-        p = f"(?s)(.*?)({pattern.replace('(', '(?:')})"
-        gap, hit = (F.regexp_extract_all("text", F.lit(p), F.lit(g)) for g in (1, 2))
-        sizes = F.zip_with(gap, hit, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
-        # sizes is bound once as a lambda variable, not computed again for each match
-        at = F.transform(F.array(sizes), lambda s: F.transform(s, lambda x, i: F.aggregate(F.slice(s, 1, i), F.lit(0), lambda a, y: a + y["g"] + y["h"]) + x["g"]))[0]
-        return F.transform(at, lambda x: F.struct(x.alias("position"), F.lit(k).alias("ord"), F.lit(tag).alias("tag")))
 
-    out = [places(k, p, tag) for k, (p, tag) in enumerate(patterns)]
-    return docs.select("doc_id", F.explode(F.concat(*out)).alias("x")).select("doc_id", "x.*")
+def pronouns(docs: DataFrame) -> DataFrame:
+    """CN-2: paragraphs with five pronouns or more beside two different words before punctuation."""
+    p = docs.select("doc_id", F.posexplode(T.paragraphs(F.col("text"), 0)).alias("paragraph", "p"))
+    words = F.array_distinct(F.regexp_extract_all("p", F.lit(f"{T.HAN}{{2,3}}(?=[，。！？、；：])"), F.lit(0)))
+    out = p.select("doc_id", "paragraph", T.matches(F.col("p"), "[他她]").alias("pronouns"), F.size(words).alias("named"), F.left("p", F.lit(100)).alias("snippet"))
+    return out.where("pronouns >= 5 and named >= 2")
 
 
-def time_issues(docs: DataFrame, **kw) -> DataFrame:
-    """CN-8: neighbouring marks that jump ahead and then fall on the same day."""
-    w = Window.partitionBy("doc_id").orderBy("position", "ord")
-    m = time_marks(docs, **kw).withColumn("before", F.lag("tag").over(w))
-    return m.where(F.col("before").isin(LATER) & (F.col("tag") == "same_day")).select("doc_id", "position", "before", "tag")
+def conflicts(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """BB-10: texts(doc_id, text) with a negation that share over three different chunks with rules(rule_id, content).
+    An equi-join on chunks, each once a text and once a rule."""
+    chunk = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(f"{T.HAN}{{2,5}}"), F.lit(0)))).alias("chunk")
+    a = texts.where(F.col("text").rlike("|".join(V.RULE_NEGATIONS))).select("doc_id", chunk("text"))
+    return a.join(rules.select("rule_id", chunk("content")), "chunk").groupBy("doc_id", "rule_id").agg(F.count("*").alias("shared")).where("shared > 3")
 
 
 def coverage(docs: DataFrame, points: DataFrame) -> DataFrame:

@@ -39,3 +39,14 @@ def arcs(docs: DataFrame) -> DataFrame:
     s = c.withColumn("s", F.when((n >= 4) & (high - low >= 0.01), pick))
     errors = [F.struct((F.aggregate(F.zip_with("s", F.array(*map(F.lit, v)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)).alias("e"), F.lit(k).alias("o"), F.lit(name).alias("name")) for k, (name, v) in enumerate(V.ARCS.items())]
     return s.select("doc_id", F.when(n < 4, "unknown").when(F.col("s").isNull(), "flat").otherwise(F.array_min(F.array(*errors))["name"]).alias("arc"))
+
+
+def rhythm(docs: DataFrame, segments: int = 40) -> DataFrame:
+    """ST-22: (doc_id, i, intensity) of equal segments, the last with the rest; weight for each hundred characters, 3 at
+    most. Front matter is left out; texts under a hundred characters have no curve."""
+    t = docs.select("doc_id", F.regexp_replace("text", r"(?s)\A---.*?---\n", "").alias("t")).where(F.length("t") >= 100)
+    size = F.greatest(F.floor(F.length("t") / segments).cast("int"), F.lit(1))
+    part = F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda i: F.col("t").substr(i * size + 1, F.when(i < segments - 1, size).otherwise(F.length("t"))))
+    s = t.select("doc_id", F.posexplode(part).alias("i", "w"))
+    tenths = reduce(lambda a, b: a + b, [T.count_of(F.col("w"), k) * round(10 * x) for k, (_, x) in {**V.EMOTIONS, **V.RHYTHM_EXTRA}.items()])
+    return s.select("doc_id", "i", F.when(F.length("w") > 0, F.least(tenths * 10 / F.length("w"), F.lit(3.0))).otherwise(0.0).alias("intensity"))

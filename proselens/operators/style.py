@@ -123,3 +123,52 @@ def lint(docs: DataFrame, rules: list[tuple[str, str, str, float | None]], sever
     by_line = [in_lines(c, p, s) for c, p, s, m in kept if m is None]
     dense = [F.when(T.count_of(t, p) * 1000 / T.per(t) > m, F.array(row(c, p, s, F.lit(-1)))).otherwise(F.array().cast("array<struct<check:string,pattern:string,severity:string,line:int>>")) for c, p, s, m in kept if m is not None]
     return docs.select("doc_id", F.explode(F.concat(*by_line, *dense)).alias("x")).select("doc_id", "x.*")
+
+
+def quick_scan(docs: DataFrame) -> DataFrame:
+    """LN-6: (doc_id, type, severity, amount) of five simple signs. The fourth looks for a Han character before a literal
+    backslash and 1, which is what the fixed pattern says, so doubled characters don't count."""
+    t = F.col("text")
+    s = F.transform(T.sentences(t, 3, "[。！？…]"), lambda x: F.left(x, F.lit(2)))
+    n = F.greatest(F.size(s) - 1, F.lit(0))
+    same = F.size(F.filter(F.zip_with(F.slice(s, 1, n), F.slice(s, 2, n), lambda a, b: a == b), lambda x: x))
+    each = lambda k: k / (T.per(t) / 100)
+    signs = [
+        ("adverb_abuse", "warn", each(T.matches(t, T.HAN + "{1,3}地")), 2),
+        ("repetition", "warn", same.cast("double"), 1),
+        ("exclamation", "info", each(T.count_of(t, "！")), 5),
+        ("doubled", "info", T.matches(t, T.HAN + r"\\1").cast("double"), 2),
+        ("filler", "info", each(T.count_of(t, "了")), 8),
+    ]
+    found = F.array(*[F.struct(F.lit(k).alias("type"), F.lit(v).alias("severity"), x.alias("amount"), F.lit(float(limit)).alias("limit")) for k, v, x, limit in signs])
+    return docs.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*").where("amount > limit").drop("limit")
+
+
+def repetition(docs: DataFrame, max_han: int = 20000, max_types: int = 5000) -> DataFrame:
+    """SL-12: (doc_id, kind, rank, phrase, n): starts of sentences and paragraphs and phrases that recur. Counting of
+    phrases stops at a number of different ones in order of place, which only sequential code can tell."""
+
+    def scan(text: str) -> list[tuple[str, str, int]]:
+        sentences = [x for x in map(str.strip, re.split("[。！？…]+", text)) if len(x) > 3]
+        openings = [re.split("[。！？…]", p)[0].strip() for p in map(str.strip, re.split(r"\n\s*\n", text)) if len(p) > 5]
+        taken, runs = 0, []
+        for run in re.findall(T.HAN + "+", text):
+            if taken >= max_han:
+                break
+            taken += len(run)
+            runs.append(run)
+        phrases: Counter = Counter()
+        for g in (r[i : i + n] for r in runs for n in range(3, min(6, len(r) + 1)) for i in range(len(r) - n + 1)):
+            phrases[g] += 1
+            if len(phrases) >= max_types:
+                break
+        kinds = [("sentence_2", Counter(x[:2] for x in sentences), 20, 3, 20), ("sentence_3", Counter(x[:3] for x in sentences), 20, 3, 20), ("paragraph", Counter(x[:4] for x in openings if len(x) >= 3), 15, 2, 15), ("phrase", phrases, 30, 3, 20)]
+        return [(kind, rank, p, n) for kind, c, top, least, shown in kinds for rank, (p, n) in enumerate([x for x in c.most_common(top) if x[1] >= least][:shown])]
+
+    def run(batches):
+        for b in batches:
+            rows = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in scan(t or "")]
+            cols = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32()])], names=["doc_id", "kind", "rank", "phrase", "n"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, kind string, rank int, phrase string, n int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from proselens.functions import fixed_values as V
-from proselens.operators import consistency, emotion, stats, store, style
+from proselens.operators import consistency, emotion, outline, reviews, stats, store, style
 from proselens.sources.tables import CHINESE, LATIN, chapters, documents, table
 
 HAN = "[一-鿿]"
@@ -33,7 +33,16 @@ ON_DOCUMENTS = {
     "em01_windows": emotion.curve,
     "em05_arcs": emotion.arcs,
     "bb08_hints": consistency.hints,
+    "st22_rhythm": emotion.rhythm,
+    "sl12_repetition": style.repetition,
+    "ln06_quick_scan": style.quick_scan,
+    "cn01_names": lambda d: consistency.names(d, ["王宁", "安平", "红沉"]),
+    "cn01_surnames": consistency.surnames,
+    "cn02_pronouns": lambda d: consistency.pronouns(d).drop("snippet"),
 }
+#: Rare characters of the translated tables as time markers and as words of reviews, so that those operators meet some.
+MARKERS = [("天", "深夜"), ("王", "3天后"), ("”", "清晨"), ("次", "当天")]
+OPINIONS = [("天", "爽快"), ("次", "节奏"), ("王", "不"), ("”", "老套"), ("后", "混乱")]
 
 
 def lint_book(spark, d):
@@ -66,6 +75,35 @@ def verdicts(spark, d):
     return store.confusion(t.select(F.lit("pacing").alias("dimension"), (F.col("action_density") < 15).alias("tool_bad"), (F.col("quality") == 0).alias("review_bad")))
 
 
+def swap(c, words):
+    for a, b in words:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def marked(spark, d, of=documents):
+    return of(spark, d).withColumn("text", swap(F.col("text"), MARKERS))
+
+
+def opinions(spark, d):
+    return documents(spark, d).select(F.col("doc_id").alias("id"), swap(F.col("text"), OPINIONS).alias("text"))
+
+
+def rules(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("rule_id"), F.translate(F.lower("text"), LATIN, CHINESE).alias("content"))
+
+
+def outlines(spark, d):
+    """An outline of every language: a goal, and each item of the benchmark as a checkpoint."""
+    points = table(spark, d, "benchmark").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("- "), F.regexp_replace(F.translate(F.lower("text"), LATIN, CHINESE), r"\s+", " ")))), "\n").alias("p"))
+    langs = table(spark, d, "documents").select("lang").distinct()
+    return langs.crossJoin(points).select(F.col("lang").alias("outline_id"), F.concat(F.lit("---\nlevel: volume\n---\n# "), "lang", F.lit("\n\n## 叙事目标\n平静\n\n## 检查点\n"), "p").alias("text"))
+
+
+def planned(spark, d):
+    return documents(spark, d).join(table(spark, d, "documents").select("doc_id", F.col("lang").alias("outline_id")), "doc_id")
+
+
 QUERIES = {k: (lambda spark, d, f=f: f(documents(spark, d))) for k, f in ON_DOCUMENTS.items()} | {
     "st12_count_book": lambda s, d: stats.count_book(chapters(s, d)),
     "st13_readout_book": lambda s, d: stats.readout_book(chapters(s, d)),
@@ -80,6 +118,16 @@ QUERIES = {k: (lambda spark, d, f=f: f(documents(spark, d))) for k, f in ON_DOCU
     "db01_insert_new": lambda s, d: store.insert_new(table(s, d, "region").select(F.col("r_regionkey").cast("long").alias("id")), table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("id")), "id"),
     "db06_gaps": lambda s, d: store.gaps(table(s, d, "events").select(F.col("event_type").alias("module"), (F.col("user_id") % 10).alias("gap_type"), F.col("ts").alias("at"))),
     "vl06_verdicts": verdicts,
+    "cn07_time_marks": lambda s, d: consistency.time_marks(marked(s, d)),
+    "cn08_time_issues": lambda s, d: consistency.time_issues(marked(s, d)),
+    "cn09_between_chapters": lambda s, d: consistency.time_between_chapters(marked(s, d, chapters)),
+    "bb10_conflicts": lambda s, d: consistency.conflicts(documents(s, d), rules(s, d)),
+    "vl01_dimensions": lambda s, d: reviews.dimensions(opinions(s, d)),
+    "ht01_clean_pages": lambda s, d: reviews.clean_pages(table(s, d, "pages")),
+    "ht09_clean_titles": lambda s, d: reviews.clean_titles(table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("全文"), "p_name", F.lit("（完整版）")).alias("title"))),
+    "ol01_outlines": lambda s, d: outline.parse(outlines(s, d)).select("outline_id", "title", "level", "goal", F.size("checkpoints").alias("points")),
+    "ol03_compare": lambda s, d: outline.compare(planned(s, d), outline.checkpoints(outlines(s, d))).drop("extra"),
+    "ol04_summarize": lambda s, d: outline.summarize(planned(s, d), outline.checkpoints(outlines(s, d))),
 }
 
 H = f"h AS (SELECT doc_id, source AS book, translate(lower(replace(text, chr(10), chr(10) || chr(10))), '{LATIN}', '{CHINESE}') AS t FROM documents)"
@@ -108,6 +156,28 @@ ONCE = lambda ws: " + ".join(f"contains(t, '{w}')::INT" for w in ws)  # noqa: E7
 PAT = lambda k: " + ".join(N(p) for c, p in V.WEASEL_PATTERNS if c == k)
 ORDERS = "i AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem), pr AS (SELECT x.s AS a, y.s AS b FROM i x JOIN i y USING (o) WHERE x.s <> y.s AND (x.s + y.s + o) % 2 = 0), g AS (SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS weight, count(*) AS times FROM pr GROUP BY ALL)"
 
+def _swapped(c, words):
+    for a, b in words:
+        c = f"replace({c}, '{a}', '{b}')"
+    return c
+
+
+def _dims():
+    said = lambda w, s: f"WHEN strpos(t, '{w}') > 0 THEN CASE WHEN regexp_matches(substr(t, greatest(strpos(t, '{w}') - 5, 1), least(strpos(t, '{w}') - 1, 5)), '{'|'.join(V.REVIEW_NEGATIONS)}') THEN '{'positive' if s == 'negative' else 'negative'}' ELSE '{s}' END"
+    ordered = sorted(V.REVIEW_WORDS, key=lambda r: -len(r[0]))
+    each = [f"SELECT id, '{d}' AS dimension, CASE {' '.join(said(w, s) for w, x, s in ordered if x == d)} END AS sentiment FROM r" for d in dict.fromkeys(x for _, x, _ in ordered)]
+    return f"r AS (SELECT doc_id AS id, {_swapped('t', OPINIONS)} AS t FROM h) SELECT * FROM ({' UNION ALL '.join(each)}) WHERE sentiment IS NOT NULL"
+
+
+PLACES = " UNION ALL ".join(f"SELECT doc_id, {k} AS ord, '{g}' AS tag, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS h FROM mt WHERE regexp_matches(t, '{p}')" for k, (p, g) in enumerate(V.TIMES))
+NUMBERED = ", ".join(str(k) for k, (p, _) in enumerate(V.TIMES) if "(" in p)
+MARKS = f"mt AS (SELECT doc_id, {_swapped('t', MARKERS)} AS t FROM h), mp AS ({PLACES}), mi AS (SELECT doc_id, ord, tag, g, h, unnest(range(1, len(h) + 1)) AS i FROM mp), m AS (SELECT doc_id, ord, tag, (sum(length(g[i]) + length(h[i])) OVER (PARTITION BY doc_id, ord ORDER BY i) - length(h[i]))::INT AS position, CASE WHEN ord IN ({NUMBERED}) THEN regexp_extract(h[i], '[0-9]+')::BIGINT END AS value FROM mi)"
+TAGS = "tg AS (SELECT doc_id, list(tag ORDER BY position, ord) AS tags FROM m GROUP BY doc_id), tc AS (SELECT c.book, c.chapter_no, c.doc_id, tags FROM c JOIN tg USING (doc_id))"
+PER = f"({DENSE} / 100)"
+STARTS = f"list_transform(list_filter(list_transform(regexp_split_to_array({STRIP('t')}, '[。！？…]'), lambda x: {STRIP('x')}), lambda x: length(x) > 3), lambda x: left(x, 2))"
+TENTHS_R = " + ".join(f"{round(x * 10)} * {COUNT(w, 'w')}" for w, (_, x) in {**V.EMOTIONS, **V.RHYTHM_EXTRA}.items())
+CHUNKS = lambda c: f"unnest(list_distinct(regexp_extract_all({c}, '{HAN}{{2,5}}')))"
+
 SQL = {
     "st01_count_chapter": f"WITH {H} SELECT doc_id, {N(WIDE)} AS chinese_chars, length(replace(replace(t, chr(10), ''), chr(13), '')) AS total_chars, len({PARA}) AS paragraphs, len(regexp_extract_all(t, '「[^」]*」|“[^”]*”|\"[^\"]+\"')) AS dialogue_lines, {N(WIDE)} AS words, CASE WHEN regexp_extract(t, '(?m)^#\\s+(.+)', 1) <> '' THEN regexp_extract(t, '(?m)^#\\s+(.+)', 1) ELSE 'ch' || doc_id END AS title FROM h",
     "st08_mattr": f"WITH {H}, r AS (SELECT doc_id, regexp_extract_all(t, '{HAN}+') AS r FROM h), x AS (SELECT doc_id, r, len(r) AS n, list_transform(generate_series(0, greatest(len(r) - 50, 0), greatest(1, greatest(len(r) - 50, 1) // 30)), lambda i: len(list_distinct(list_slice(r, i + 1, i + 50)))) AS d FROM r) SELECT doc_id, CASE WHEN n < 50 THEN 0 ELSE list_sum(d)::DOUBLE / (len(d) * 50) END AS mattr FROM x",
@@ -135,4 +205,15 @@ SQL = {
     "db01_insert_new": "SELECT r_regionkey::BIGINT AS id FROM region UNION ALL SELECT DISTINCT n_nationkey::BIGINT FROM nation WHERE n_nationkey NOT IN (SELECT r_regionkey FROM region)",
     "db06_gaps": "SELECT event_type AS module, user_id % 10 AS gap_type, count(*) AS occurrence_count, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY ALL",
     "vl06_verdicts": f"WITH {H}, x AS (SELECT {N('[' + V.ACTION + ']')} * 1000 / {DENSE} < 15 AS tool_bad, quality = 0 AS review_bad FROM h JOIN labels USING (doc_id)) SELECT 'pacing' AS dimension, CASE WHEN tool_bad = review_bad THEN 'matched' WHEN review_bad THEN 'false_negative' ELSE 'false_positive' END AS verdict, count(*) AS n FROM x GROUP BY ALL",
+    "st22_rhythm": f"WITH {H}, x AS (SELECT doc_id, t, greatest(length(t) // 40, 1) AS z, unnest(range(40)) AS i FROM h WHERE length(t) >= 100), y AS (SELECT doc_id, i::INT AS i, substr(t, i * z + 1, CASE WHEN i < 39 THEN z ELSE length(t) END) AS w FROM x) SELECT doc_id, i, CASE WHEN length(w) > 0 THEN least(({TENTHS_R}) * 10 / length(w)::DOUBLE, 3::DOUBLE) ELSE 0 END AS intensity FROM y",
+    "ln06_quick_scan": f"WITH {H}, x AS (SELECT doc_id, {N(HAN + '{1,3}地')} / {PER} AS a, {STARTS} AS s, {COUNT('！')} / {PER} AS e, {COUNT('了')} / {PER} AS l FROM h), y AS (SELECT *, len(list_filter(range(1, len(s)), lambda i: s[i] = s[i + 1]))::DOUBLE AS r FROM x) SELECT doc_id, 'adverb_abuse' AS type, 'warn' AS severity, a AS amount FROM y WHERE a > 2 UNION ALL SELECT doc_id, 'repetition', 'warn', r FROM y WHERE r > 1 UNION ALL SELECT doc_id, 'exclamation', 'info', e FROM y WHERE e > 5 UNION ALL SELECT doc_id, 'filler', 'info', l FROM y WHERE l > 8",
+    "cn01_names": f"WITH {H}, x AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(t, '{HAN}([，。！？、：；\"」』）)\\s])', '\\1', 'g'), '[{V.SURNAMES}]{HAN}{{1,2}}')) AS name FROM h), y AS (SELECT doc_id, name, count(*) AS n, name IN ('王宁', '安平', '红沉') AS known FROM x GROUP BY doc_id, name) SELECT * FROM y WHERE known OR n >= 2",
+    "cn01_surnames": f"WITH {H}, x AS (SELECT doc_id, left(unnest(regexp_extract_all(t, '(?s)[{V.SURNAMES}](?:[^一-鿿]|$)')), 1) AS surname FROM h) SELECT doc_id, surname, count(*) AS n FROM x GROUP BY ALL HAVING count(*) >= 3",
+    "cn02_pronouns": f"WITH {H}, x AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '\\n\\s*\\n'), lambda x: {STRIP('x')}), lambda x: x <> '') AS ps FROM h), y AS (SELECT doc_id, unnest(range(len(ps))) AS i, ps FROM x), z AS (SELECT doc_id, i::INT AS paragraph, {N('[他她]', 'ps[i + 1]')}::INT AS pronouns, len(list_distinct(regexp_extract_all(ps[i + 1], '({HAN}{{2,3}})[，。！？、；：]', 1)))::INT AS named FROM y) SELECT * FROM z WHERE pronouns >= 5 AND named >= 2",
+    "cn07_time_marks": f"WITH {H}, {MARKS} SELECT doc_id, position, ord, tag, value FROM m",
+    "cn08_time_issues": f"WITH {H}, {MARKS}, x AS (SELECT doc_id, position, lag(tag) OVER (PARTITION BY doc_id ORDER BY position, ord) AS before, tag FROM m) SELECT * FROM x WHERE before IN ('days_later', 'months_later', 'years_later') AND tag = 'same_day'",
+    "cn09_between_chapters": f"WITH {H}, {CHAP}, {MARKS}, {TAGS} SELECT b.book, b.chapter_no, b.doc_id FROM tc a JOIN tc b ON a.book = b.book AND a.chapter_no + 1 = b.chapter_no WHERE list_has_any(a.tags[-3:], ['days_later', 'months_later', 'years_later', 'time_skip_long']) AND list_has_any(b.tags[1:3], ['same_day', 'next_day', 'early_morning'])",
+    "bb10_conflicts": f"WITH {H}, a AS (SELECT doc_id, {CHUNKS('t')} AS k FROM h WHERE regexp_matches(t, '{'|'.join(V.RULE_NEGATIONS)}')), b AS (SELECT item_id AS rule_id, {CHUNKS(f'translate(lower(text), {chr(39)}{LATIN}{chr(39)}, {chr(39)}{CHINESE}{chr(39)})')} AS k FROM benchmark) SELECT doc_id, rule_id, count(*) AS shared FROM a JOIN b USING (k) GROUP BY doc_id, rule_id HAVING count(*) > 3",
+    "vl01_dimensions": f"WITH {H}, {_dims()}",
+    "ht09_clean_titles": "SELECT p_partkey AS id, trim(p_name) AS title FROM part",
 }
