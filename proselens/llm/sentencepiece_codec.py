@@ -60,6 +60,11 @@ class Pieces:
         # Longest-first binary search needs the pieces' bytes.
         self.raw = [(t.encode(), self.id[t]) for t in self.pieces]
         self.longest = max(len(b) for b, _ in self.raw)
+        short = [(b, i) for b, i in self.raw if len(b) <= 8]
+        self.low = np.array([int.from_bytes(b.ljust(8, b"\0"), "big") for b, _ in short], np.uint64)
+        self.high = np.array([int.from_bytes(b.ljust(8, b"\xff"), "big") for b, _ in short], np.uint64)
+        self.short = [(i, len(b)) for b, i in short]
+        self.long = [(b, i) for b, i in self.raw if len(b) > 8]
         self.out = [b"" if sp.is_control(i) else bytes([int(t[3:5], 16)]) if sp.is_byte(i) else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)]
         self.out[sp.unk_id()] = " ⁇ ".encode()
         self.runs: dict[int, list[int]] = {}
@@ -140,28 +145,24 @@ class Pieces:
         for s in (1, 2, 4):
             word = (word[:-s] << np.uint64(8 * s)) | word[s:]
         lead = word[sa]
-        short = [(b, i) for b, i in self.raw if len(b) <= 8]
-        low = np.array([int.from_bytes(b.ljust(8, b"\0"), "big") for b, _ in short], np.uint64)
-        high = np.array([int.from_bytes(b.ljust(8, b"\xff"), "big") for b, _ in short], np.uint64)
-        ranges = [np.searchsorted(lead, low), np.searchsorted(lead, high, "right")]
-        ids, sizes = [i for _, i in short], [len(b) for b, _ in short]
+        ranges = [np.searchsorted(lead, self.low), np.searchsorted(lead, self.high, "right")]
+        ids, sizes = [i for i, _ in self.short], [n for _, n in self.short]
         froms, tos = [ranges[0]], [ranges[1]]
-        for b, i in self.raw:  # beyond 8 bytes, search on inside the range
-            if len(b) > 8:
-                k = np.uint64(int.from_bytes(b[:8], "big"))
-                x, y = int(np.searchsorted(lead, k)), int(np.searchsorted(lead, k, "right"))
-                for o in range(8, len(b), 8):
-                    if x == y:
-                        break
-                    c = b[o : o + 8]
-                    part = word[sa[x:y] + o]
-                    y = x + int(np.searchsorted(part, np.uint64(int.from_bytes(c.ljust(8, b"\xff"), "big")), "right"))
-                    x = x + int(np.searchsorted(part, np.uint64(int.from_bytes(c.ljust(8, b"\0"), "big"))))
-                if x < y:
-                    froms.append([x])
-                    tos.append([y])
-                    ids.append(i)
-                    sizes.append(len(b))
+        for b, i in self.long:  # beyond 8 bytes, search on inside the range
+            k = np.uint64(int.from_bytes(b[:8], "big"))
+            x, y = int(np.searchsorted(lead, k)), int(np.searchsorted(lead, k, "right"))
+            for o in range(8, len(b), 8):
+                if x == y:
+                    break
+                c = b[o : o + 8]
+                part = word[sa[x:y] + o]
+                y = x + int(np.searchsorted(part, np.uint64(int.from_bytes(c.ljust(8, b"\xff"), "big")), "right"))
+                x = x + int(np.searchsorted(part, np.uint64(int.from_bytes(c.ljust(8, b"\0"), "big"))))
+            if x < y:
+                froms.append([x])
+                tos.append([y])
+                ids.append(i)
+                sizes.append(len(b))
         x, y = np.concatenate(froms), np.concatenate(tos)
         n = y - x
         start = sa[np.repeat(x - np.cumsum(n) + n, n) + np.arange(n.sum())]
@@ -205,8 +206,12 @@ class Pieces:
                     out[w].append(t)
         return out
 
-    def encode_pretokens(self, words: list[str]) -> list[list[int]]:
-        """Any pre-tokens. Marks before the last one merge among themselves after all else has merged."""
+    def encode_pretokens(self, words: list[str], batch: int = 512 << 10) -> list[list[int]]:
+        """Any pre-tokens. Marks before the last one merge among themselves after all else has merged.
+
+        Pre-tokens are independent, so they are indexed in batches of about `batch` bytes: the edges take some hundreds
+        of bytes a byte of text. A longer pre-token is a batch of its own.
+        """
         core, plan = {}, []
         for w in words:
             rest = w.lstrip(MARK)
@@ -216,7 +221,16 @@ class Pieces:
             else:
                 c = MARK * min(marks, 1) + rest
                 plan.append((max(marks - 1, 0), core.setdefault(c, len(core))))
-        coded = self.encode(list(core)) if core else []
+        coded: list[list[int]] = []
+        some, n = [], 0
+        for c in core:
+            some.append(c)
+            n += len(c.encode()) + 1
+            if n >= batch:
+                coded += self.encode(some)
+                some, n = [], 0
+        if some:
+            coded += self.encode(some)
         out = []
         for w, (marks, c) in zip(words, plan):
             if c is None:

@@ -38,3 +38,13 @@ def test_every_piece_and_pair():
     words = {p.text[i].lstrip("▁") for i in range(259, 32000)} | {p.text[r.randrange(259, 32000)].lstrip("▁") + p.text[r.randrange(259, 32000)].replace("▁", "") for _ in range(30000)}
     words = sorted("▁" + w for w in words if w and "\n" not in w)
     assert p.encode(words) == [LIB.encode(w[1:]) for w in words]
+
+
+def test_batches_give_the_same_ids():
+    """Pre-tokens indexed one at a time, a few at a time and all at once have the same ids."""
+    from proselens.llm.pretokens import cut
+    from proselens.llm.sentencepiece_codec import tables
+
+    words = list(dict.fromkeys(cut("Der Tag war lang,  und die Straße lag leer. naïve 漢字 x" + "a" * 50 + "\n\nL'été arrive")))
+    p = tables(public_tokenizers.path("piece_bpe_32k.model"))
+    assert p.encode_pretokens(words, 1) == p.encode_pretokens(words, 20) == p.encode_pretokens(words)
