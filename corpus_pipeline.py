@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from proselens.llm import decontamination, quality, sentencepiece_codec, simhash, substring_dedup
 from proselens.llm.common import scratch, table
 
-#: 256-bit fingerprints of five-word shingles. Pairs of similarity 0.8 differ in about 41 bits.
-NEAR = {"shingle": 5, "bits": 256, "radius": 46, "tables": simhash.sampled_tables(256, 16, 64)}
+#: 256-bit fingerprints of five-word shingles find candidates; similarity 0.8 of the sets of shingles decides.
+NEAR = {"shingle": 5, "bits": 256, "radius": 46, "tables": simhash.sampled_tables(256, 16, 64), "similarity": 0.8}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays; rows with a null id stay."""
-    groups = simhash.near_groups(docs, **NEAR).select("doc_id", "component_id").where("doc_id > component_id").select("doc_id").distinct()
+    groups = simhash.similar_groups(docs, **NEAR).where("doc_id > component_id").select("doc_id").distinct()
     return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
 
 

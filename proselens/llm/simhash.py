@@ -8,6 +8,8 @@ per plane, summed by carry-save adders section by section, and blocks of lanes a
 from __future__ import annotations
 
 import itertools
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,8 @@ from proselens.llm.components import components
 
 #: Fingerprints in one comparison at most; a larger bucket is split into pairs of parts.
 CELL = 8192
+#: Shingle sets in one verification at most; a larger group is split into pairs of parts.
+GROUP = 1024
 SECTION = 32
 
 
@@ -30,25 +34,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int, bits: int, step: int = 1 << 15) -> bytes:
-    """A bit is 1 if it is set in over half of the shingles' hashes. No words: zero."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """One hash for each run of `shingle` words, in order of place; a shorter text is one run. No words: none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return bytes(bits // 8)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = list(itertools.accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends[:-1]]
     last = ends[min(shingle, len(words)) - 1 :]
     h = xxhash.xxh64_intdigest
-    ones, n = np.zeros(bits, np.int64), len(last)
+    return np.fromiter((h(joined[a : b - 1], 42) for a, b in zip([0, *ends[:-1]], last)), np.uint64, len(last))
+
+
+def _print(hashes: np.ndarray, bits: int, step: int = 1 << 15) -> bytes:
+    ones, n = np.zeros(bits, np.int64), len(hashes)
     for at in range(0, n, step):
-        part = np.array([h(joined[a : b - 1], 42) for a, b in zip(starts[at : at + step], last[at : at + step])], np.uint64)
+        part = hashes[at : at + step]
         wide = [part] + [_mix(part + np.uint64(0x9E3779B97F4A7C15 * j % (1 << 64))) for j in range(1, bits // 64)]
         for j, x in enumerate(wide):
             ones[64 * j : 64 * j + 64] += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return np.packbits(ones * 2 > n).tobytes()
 
 
+def fingerprint(text: str | None, shingle: int, bits: int) -> bytes:
+    """A bit is 1 if it is set in over half of the shingles' hashes. No words: zero."""
+    return _print(shingle_hashes(text, shingle), bits)
+
+
 def exact_tables(bits: int, radius: int) -> list[list[int]]:
     """radius + 2 parts: two fingerprints within the radius agree in two of them, so any two parts make a key."""
     parts = [p.tolist() for p in np.array_split(np.arange(bits), radius + 2)]
@@ -220,17 +232,69 @@ def fingerprints(docs: DataFrame, shingle: int, bits: int, id_col: str = "doc_id
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, print binary")
 
 
-def near_groups(docs: DataFrame, shingle: int = 3, bits: int = 64, radius: int = 3, tables: list[list[int]] | None = None, **names) -> DataFrame:
-    """(doc_id, print, component_id) of every row: the smallest id reachable over fingerprints within the radius.
+def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of sets with a Jaccard similarity of at least `similarity`, as pairs that join what all of them join.
 
-    Equal fingerprints are one node, so copies add no comparisons. Null texts have fingerprint zero; null ids take part
-    but are never a component's id unless it has no other. Without tables the search is exact.
+    Exact: such sets share a token among the first size - ceil(similarity * size) + 1 of each, rarest first.
     """
-    tables = tables or exact_tables(bits, radius)
-    rows = checkpoint(fingerprints(docs, shingle, bits, **names))
-    nodes = rows.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    number = F.conv(F.hex("print"), 16, -10).cast("long") if bits == 64 else F.coalesce("rep", F.xxhash64("print"))
-    nodes = checkpoint(nodes.withColumn("node", number))
+    sizes = np.array([len(x) for x in sets], np.int64)
+    if len(sets) < 2 or not sizes.sum():
+        return []
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    ranks = [np.sort(x) for x in np.split(rank[token], np.cumsum(sizes)[:-1])]
+    group, left = np.arange(len(sets)), len(sets)
+    places, links = defaultdict(list), []
+    for i in np.argsort(sizes, kind="stable").tolist():
+        x, n = ranks[i], len(ranks[i])
+        prefix = x[: n - math.ceil(similarity * n - 1e-9) + 1].tolist()
+        near = np.array(sorted({j for t in prefix for j in places.get(t, ())}), np.int64)
+        near = near[(group[near] != group[i]) & (sizes[near] >= similarity * n - 1e-9)]
+        for j in near.tolist():
+            if group[j] != group[i]:
+                both = len(np.intersect1d(x, ranks[j], assume_unique=True))
+                if both / (n + sizes[j] - both) >= similarity:
+                    group[group == group[j]] = group[i]
+                    links.append((j, i))
+                    left -= 1
+        if left == 1:
+            break
+        for t in prefix:
+            places[t].append(i)
+    return links
+
+
+def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    def work(group):
+        nodes, sets = list(group), list(group.values())
+        links = similar_links(sets, similarity)
+        return pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in x], pa.int64()) for x in zip(*links)], names=["a", "b"]) if links else None
+
+    key, group = None, {}
+    for batch in batches:
+        for k, node, content in zip(*(c.to_pylist() for c in batch.columns)):
+            if k != key:
+                out = work(group)
+                if out is not None:
+                    yield out
+                key, group = k, {}
+            group[node] = np.frombuffer(content, np.uint64)
+    out = work(group)
+    if out is not None:
+        yield out
+
+
+def _cells(rows: DataFrame, large: DataFrame, key: str) -> DataFrame:
+    """rows(key, node, ...) with each key of large(key, parts) replaced by one key for each pair of parts that holds the node's."""
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    cells = F.expr(f"transform(filter(sequence(0L, parts - 1), o -> o <> part), o -> xxhash64({key}, least(o, part), greatest(o, part)))")
+    rows = rows.join(large, key, "left").withColumn("part", part)
+    return rows.select(F.explode(F.when(F.col("parts").isNull(), F.array(key)).otherwise(cells)).alias("key"), *[c for c in rows.columns if c not in (key, "parts", "part")])
+
+
+def _links_in_radius(nodes: DataFrame, radius: int, tables: list[list[int]]) -> DataFrame:
+    """(a, b): links of nodes(print, node) that join what the pairs within the radius with an equal key join."""
     picks = [np.array(t) for t in tables]
 
     def keys(batches):
@@ -244,18 +308,65 @@ def near_groups(docs: DataFrame, shingle: int = 3, bits: int = 64, radius: int =
 
     keyed = nodes.select("print", "node").mapInArrow(keys, "key long, print binary, node long")
     large = keyed.groupBy("key").count().where(F.col("count") > CELL).withColumn("parts", F.ceil(F.col("count") / CELL)).drop("count")
-    part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    cells = F.expr("transform(filter(sequence(0L, parts - 1), o -> o <> part), o -> xxhash64(key, least(o, part), greatest(o, part)))")
-    keyed = keyed.join(large, "key", "left").withColumn("part", part)
-    keyed = keyed.select(F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(cells)).alias("key"), "print", "node")
-    links = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: _compare(x, radius), "a long, b long")
-    roots = components(links)
+    keyed = _cells(keyed, large, "key").select("key", "print", "node")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: _compare(x, radius), "a long, b long")
+
+
+def near_groups(docs: DataFrame, shingle: int = 3, bits: int = 64, radius: int = 3, tables: list[list[int]] | None = None, **names) -> DataFrame:
+    """(doc_id, print, component_id) of every row: the smallest id reachable over fingerprints within the radius.
+
+    Equal fingerprints are one node, so copies add no comparisons. Null texts have fingerprint zero; null ids take part
+    but are never a component's id unless it has no other. Without tables the search is exact.
+    """
+    rows = checkpoint(fingerprints(docs, shingle, bits, **names))
+    nodes = rows.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    number = F.conv(F.hex("print"), 16, -10).cast("long") if bits == 64 else F.coalesce("rep", F.xxhash64("print"))
+    nodes = checkpoint(nodes.withColumn("node", number))
+    roots = components(_links_in_radius(nodes, radius, tables or exact_tables(bits, radius)))
     linked = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("m"))
     linked = checkpoint(join_hot(linked, ids, "root", "m", nodes.count()).select("print", "component_id", "n"))
     return join_hot(rows, linked, "print", "n", rows.count()).select("doc_id", "print", "component_id")
 
 
+def similar_groups(docs: DataFrame, shingle: int, bits: int, radius: int, tables: list[list[int]], similarity: float) -> DataFrame:
+    """(doc_id, component_id) of every row: the smallest id reachable over documents whose sets of shingles have a Jaccard
+    similarity of at least `similarity`.
+
+    Fingerprints within the radius only say which documents to look at: the groups that they make are joined anew by
+    exact similarity, all pairs of a group included. Texts with equal sets are one node. Null ids as in near_groups().
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+
+    def prints(batches):
+        for b in batches:
+            hashes = [shingle_hashes(t, shingle) for t in b.column(1).to_pylist()]
+            content = np.array([xxhash.xxh64_intdigest(np.unique(h).tobytes()) for h in hashes], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([_print(h, bits) for h in hashes], pa.binary()), pa.array(content)], names=["doc_id", "mark", "print", "content"])
+
+    rows = texts.mapInArrow(prints, "doc_id long, mark long, print binary, content long")
+    rows = checkpoint(rows.select("doc_id", "mark", "print", F.xxhash64("print", "content").alias("node")))
+    nodes = checkpoint(rows.groupBy("node").agg(F.first("print").alias("print"), F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "mark")).alias("row"), F.count("*").alias("n")))
+    roots = components(_links_in_radius(nodes, radius, tables))
+    members = checkpoint(nodes.join(roots, "node").select("root", "node", F.col("row.doc_id").alias("id"), F.col("row.mark").alias("mark")))
+
+    def sets(batches):
+        for b in batches:
+            content = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(content, pa.binary())], names=["root", "node", "content"])
+
+    found = texts.join(members.withColumnRenamed("mark", "m").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")))
+    found = found.select("root", "node", "text").mapInArrow(sets, "root long, node long, content binary")
+    large = members.groupBy("root").count().where(F.col("count") > GROUP).withColumn("parts", F.ceil(F.col("count") / GROUP)).drop("count")
+    found = _cells(found, large, "root").select("key", "node", "content")
+    links = found.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: _verify(x, similarity), "a long, b long")
+    roots = components(links)
+    linked = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("m"))
+    linked = checkpoint(join_hot(linked, ids, "root", "m", nodes.count()).select("node", "component_id", "n"))
+    return join_hot(rows, linked, "node", "n", rows.count()).select("doc_id", "component_id")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the smallest doc_id it reaches over links of at most 3 differing bits."""
     out = near_groups(table(spark, sf_dir, "documents"))

@@ -24,3 +24,27 @@ def test_stages(spark, tmp_path):
     assert passage in seen["substring dedup"][4] and passage.split()[10] not in seen["substring dedup"][5].split() and seen["substring dedup"][1] == a
     assert set(seen["benchmark decontamination"]) == {1, 4, 5, 7}
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 4, 5, 7}
+
+
+def jaccard(a, b, n=5):
+    a, b = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_duplicates_are_similar(spark):
+    """Only documents that reach a smaller id over similarities of 0.8 or more go; lower ones stay, however near their bits."""
+    r = random.Random(11)
+    docs = []
+    for _ in range(60):
+        words = ["w" + str(r.randrange(9999)) for _ in range(300)]
+        docs.append(" ".join(words))
+        for edits in (3, 10):  # similarity about 0.9 and 0.72
+            new = list(words)
+            for at in r.sample(range(300), edits):
+                new[at] = "x" + str(r.randrange(9999))
+            docs.append(" ".join(new))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long")
+    stays = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+    alike = {i for i in range(len(docs)) if any(jaccard(docs[i], docs[j]) >= 0.8 for j in range(i - i % 3, i))}
+    assert sum(0.65 < jaccard(docs[i], docs[i - 2]) < 0.8 for i in range(2, len(docs), 3)) > 30
+    assert alike and set(range(len(docs))) - stays == alike

@@ -91,3 +91,23 @@ def test_components(spark):
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     nodes = {x for e in edges for x in e if e[0] != e[1]}
     assert got == {k: v for k, v in groups(sorted({x for e in edges for x in e}), [e for e in edges if e[0] != e[1]]).items() if k in nodes}
+
+
+def test_similar_links(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    sets = []
+    for i in range(12):
+        base = np.arange(1000 * i, 1000 * i + 40)
+        for _ in range(12):
+            sets.append(np.unique(np.concatenate([r.choice(base, r.integers(28, 41), replace=False), r.integers(10**6, 10**7, r.integers(0, 4))])).astype(np.uint64))
+    near = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if (k := len(np.intersect1d(sets[a], sets[b]))) / (len(sets[a]) + len(sets[b]) - k) >= 0.8]
+    links = simhash.similar_links(sets, 0.8)
+    assert {(min(x), max(x)) for x in links} <= set(near)
+    assert groups(range(len(sets)), links) == groups(range(len(sets)), near)
+    assert simhash.similar_links([], 0.8) == [] and simhash.similar_links([sets[0], sets[0][:0]], 0.8) == []
+    monkeypatch.setattr(simhash, "GROUP", 5)
+    texts = [" ".join(str(x) for x in s) for s in sets]
+    docs = spark.createDataFrame([*enumerate(texts), (900, texts[0]), (None, texts[0]), (901, None), (902, "")], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(docs, 1, 64, 64, [[0], [1]], 0.8).collect()}
+    want = groups(range(len(sets)), near)
+    assert got == {**want, 900: want[0], None: want[0], 901: 901, 902: 901}
