@@ -10,7 +10,8 @@ from proselens.llm import decontamination, quality, sentencepiece_codec, simhash
 from proselens.llm.common import scratch, table
 
 #: 256-bit fingerprints of five-word shingles find candidates; similarity 0.8 of the sets of shingles decides.
-NEAR = {"shingle": 5, "bits": 256, "radius": 46, "tables": simhash.sampled_tables(256, 16, 64), "similarity": 0.8}
+#: Pairs of similarity 0.8 differ in 39 bits with a deviation of 6, so that the radius leaves out about one in 10,000.
+NEAR = {"shingle": 5, "bits": 256, "radius": 60, "tables": simhash.sampled_tables(256, 12, 64), "similarity": 0.8}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,20 @@ def test_near_duplicates_are_similar(spark):
     alike = {i for i in range(len(docs)) if any(jaccard(docs[i], docs[j]) >= 0.8 for j in range(i - i % 3, i))}
     assert sum(0.65 < jaccard(docs[i], docs[i - 2]) < 0.8 for i in range(2, len(docs), 3)) > 30
     assert alike and set(range(len(docs))) - stays == alike
+
+
+def test_near_duplicates_are_found(spark):
+    """Pairs of similarity 0.8 or a little more differ in over 46 bits now and then."""
+    r = random.Random(12)
+    docs = []
+    while len(docs) < 400:
+        words = ["w" + str(r.randrange(9999)) for _ in range(200)]
+        new = list(words)
+        for at in r.sample(range(200), 4):
+            new[at] = "x" + str(r.randrange(9999))
+        a, b = " ".join(words), " ".join(new)
+        if 0.8 <= jaccard(a, b) < 0.83:
+            docs += [a, b]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long")
+    stays = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+    assert stays >= set(range(0, len(docs), 2)) and len(docs) - len(stays) >= 198  # of 200; keys are sampled
