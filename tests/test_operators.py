@@ -3,6 +3,7 @@ from collections import Counter
 import pytest
 
 from proselens.operators import stats, store, style
+from proselens.plans import registry
 
 A = "# 第1章 起风\n\n“你来了？”他走进门，笑了笑。“外面很冷！”\n\n---\n\n她没有说话，只是看着红色的灯。3天后，他又来了。当天夜里下雨……"
 B = "不仅写得快，而且写得好。虽然难读，但是好看。节奏太慢。"
@@ -36,3 +37,19 @@ def test_phrases(spark):
 def test_graph(spark):
     e = spark.createDataFrame([("b", "a", 2), ("a", "b", 3), ("c", "a", 1)], "a string, b string, weight int")
     assert {(r.a, r.b, r.weight) for r in store.graph(e).collect()} == {("a", "b", 5), ("a", "c", 1)}
+
+
+def test_graph_of_orders_is_whole(spark):
+    """Every pair of suppliers of an order counts, in both orientations."""
+    orders, d = {}, "/root/testdata/sf0.001"
+    for r in spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_suppkey").collect():
+        orders.setdefault(r.l_orderkey, set()).add(r.l_suppkey)
+    edges, degree = Counter(), Counter()
+    for s in orders.values():
+        for a in s:
+            for b in s - {a}:
+                edges[min(a, b), max(a, b)] += 1
+                degree[a] += 1
+                degree[b] += 1
+    assert {(r.a, r.b): (r.weight, r.times) for r in registry.QUERIES["bb05_graph"](spark, d).collect()} == {k: (n, n) for k, n in edges.items()}
+    assert {r.node: r.degree for r in registry.QUERIES["bb05_degrees"](spark, d).collect()} == degree
