@@ -1,5 +1,9 @@
 """WARC archives: a writer through Spark's own file sink and a reader that salvages damaged archives.
 
+Every record is a gzip member of its own. Spark's text sink, which commits whole files and survives lost executors,
+writes their bytes; it wants a separator, so a member's last byte, zero below 16 MB, is left to it. Beyond, the zero
+stays as padding, which readers of gzip skip.
+
 The reader checks every record (version line, length, closing lines, payload digest). After a failed check it searches
 for the next compressed member or version line that passes, goes on there, and logs the bytes between as a gap.
 """
@@ -59,8 +63,22 @@ def write(pages: DataFrame, path: str, archive_bytes: int = 16 << 20) -> None:
         F.lit("WARC-Payload-Digest: sha256:"), "payload_digest", F.lit("\r\nPayload-Length: "), F.col("payload_bytes").cast("string"),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), (F.lit(len(HTTP)) + F.when(is_response, F.col("payload_bytes")).otherwise(0)).cast("string"), F.lit("\r\n\r\n" + HTTP),
     )
-    record = F.concat(head, F.when(is_response, F.col("html")).otherwise(""))
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    rows = rows.select(head.alias("head"), F.when(is_response, F.col("html")).alias("html")).mapInArrow(_members, "value binary")
+    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out, n = [], 0
+        for head, html in zip(*b.columns):
+            z = zlib.compressobj(6, zlib.DEFLATED, 31)
+            raw = b"".join([z.compress((head.as_py() + (html.as_py() or "")).encode()), z.compress(END), z.flush()])
+            out.append(raw[:-1] if raw[-1] == 0 else raw)
+            n += len(raw)
+            if n >= 8 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                out, n = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
 
 @dataclass
@@ -100,40 +118,65 @@ def parse(data: bytes, at: int, checked: bool = True) -> tuple[Record | None, st
     return out, ""
 
 
-def member(data: bytes, at: int) -> tuple[bytes | None, int]:
-    """The compressed member at a place and its end; None if it doesn't decompress to its end."""
-    z = zlib.decompressobj(31)
-    try:
-        out = z.decompress(data[at:])
-    except zlib.error:
-        return None, at
-    return (out, len(data) - len(z.unused_data)) if z.eof else (None, at)
+def inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int | None]:
+    """What the compressed member at a place holds, and its end; if it is damaged, what came before, and no end."""
+    z, out, view = zlib.decompressobj(31), [], memoryview(data)
+    for i in range(at, len(data), step):
+        try:
+            out.append(z.decompress(view[i : i + step]))
+        except zlib.error:
+            break
+        if z.eof:
+            return b"".join(out), min(i + step, len(data)) - len(z.unused_data)
+    return b"".join(out), None
+
+
+def whole_records(data: bytes) -> Iterator[Record]:
+    """The records from the start of uncompressed data up to the first that fails."""
+    at = 0
+    while at < len(data) and (got := parse(data, at)[0]):
+        yield got
+        at = got.end
 
 
 def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
-    """Records in order, and (begin, end, reason) for each gap. Compressed archives have one record a member."""
+    """Records in order, and (begin, end, reason) for each gap. A compressed member may hold any number of records: all
+    that pass are recovered, from a damaged or truncated one too, and a member that holds anything else is logged as a
+    gap. Zeros after a member are padding."""
     at, bad, why = 0, None, ""
     while at < len(data):
-        got, reason, end = None, "", at
+        found, reason, end = [], "", None
         if data[at : at + 3] == MEMBER:
-            inner, end = member(data, at)
-            got, reason = (None, "member doesn't decompress") if inner is None else parse(inner, 0)
-            if got and got.end != len(inner):
-                got, reason = None, "member holds more than its record"
-            if got:
-                got = Record(at, end, got.fields, got.block)
+            inner, end = inflate(data, at)
+            if end is None:
+                found, reason = list(whole_records(inner)), "member doesn't decompress"
+            else:
+                for x in salvage(inner) if inner[:3] != MEMBER else [(0, len(inner), "member in a member")]:
+                    if isinstance(x, Record):
+                        found.append(x)
+                    else:
+                        reason = reason or x[2]
+            found = [Record(at, at if end is None else end, x.fields, x.block) for x in found]
         else:
             got, reason = parse(data, at)
-        if got:
-            if bad is not None:
+            if got:
+                found, end = [got], got.end
+        if bad is not None and end is not None and not reason:
+            yield bad, at, why
+            bad = None
+        yield from found
+        if reason and bad is None:
+            bad, why = at, reason
+        if end is not None:
+            at = end
+            if reason:
                 yield bad, at, why
                 bad = None
-            yield got
-            at = got.end
+            while data[at : at + 1] == b"\0":
+                at += 1
             continue
-        if bad is None:
-            bad, why = at, reason
-        next_ = START.search(data, at + 1)
+        # What a damaged member gave may stand in it uncompressed, too; only another member can follow it.
+        next_ = (re.compile(re.escape(MEMBER)) if found else START).search(data, at + 1)
         at = next_.start() if next_ else len(data)
     if bad is not None:
         yield bad, len(data), why
@@ -171,16 +214,27 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def batch(out):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(rows, READ)
 
 
+def store(spark: SparkSession, pages: DataFrame, path: str) -> DataFrame:
+    """pages(page_id, url, html) written below path and read back: the rows of read(), kept in path/index, with the gaps
+    alone in path/gaps. A page that can't be read back is an error that names the log."""
+    write(pages, f"{path}/archives")
+    read(spark, f"{path}/archives").write.parquet(f"{path}/index")
+    index = spark.read.parquet(f"{path}/index")
+    index.where("gap is not null").select("path", "begin", "end", "gap").write.parquet(f"{path}/gaps")
+    found, there = index.where("gap is null").count(), pages.count()
+    if found != there:
+        raise RuntimeError(f"{there} pages were written, {found} records read; see {path}/gaps")
+    return index.where("gap is null")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as its record tells it after writing and reading back."""
-    path = scratch(spark, "warc")
-    write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     number = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1).try_cast("long")
-    got = read(spark, path).where(F.col("gap").isNull())
+    got = store(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"), scratch(spark, "warc"))
     return got.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", number(F.col("refers_to")).alias("refers_to"))
 
 

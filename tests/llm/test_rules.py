@@ -1,6 +1,8 @@
+import gzip
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -116,21 +118,76 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(map(repr, [(x.record_id, x.payload_bytes, x.digest, x.record_type, x.refers_to) for x in got])) == sorted(map(repr, want))
 
 
-@pytest.mark.parametrize("packed", [False, True])
-def test_salvage(packed):
-    import gzip
+def record(i):
+    body = f"payload {i} ".encode() * 20
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Payload-Digest: sha256:{hashlib.sha256(body).hexdigest()}\r\nContent-Length: {len(body)}\r\n\r\n"
+    return head.encode() + body + b"\r\n\r\n"
+
+
+def numbers(out):
+    return [x.fields["warc-record-id"][10:-1] for x in out if isinstance(x, warc.Record)]
+
+
+def lost(out):
+    return [x[:2] for x in out if isinstance(x, tuple)]
 
-    def record(i):
-        body = f"payload {i} ".encode() * 20
-        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Payload-Digest: sha256:{hashlib.sha256(body).hexdigest()}\r\nContent-Length: {len(body)}\r\n\r\n"
-        return head.encode() + body + b"\r\n\r\n"
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_salvage(packed):
     parts = [gzip.compress(record(i)) if packed else record(i) for i in range(5)]
     broken = bytearray(parts[2])
     broken[len(broken) // 2] ^= 0x55
     data = parts[0] + parts[1] + bytes(broken) + parts[3] + parts[4][:-30]
     out = list(warc.salvage(data))
     a = len(parts[0]) + len(parts[1])
-    assert [x.fields["warc-record-id"][10:-1] for x in out if isinstance(x, warc.Record)] == ["0", "1", "3"]
-    assert [(x[0], x[1]) for x in out if isinstance(x, tuple)] == [(a, a + len(broken)), (a + len(broken) + len(parts[3]), len(data))]
+    assert numbers(out) == ["0", "1", "3"]
+    assert lost(out) == [(a, a + len(broken)), (a + len(broken) + len(parts[3]), len(data))]
     assert list(warc.salvage(b"")) == []
+
+
+def test_members_of_several_records():
+    """A member may hold any number of records; a damaged one gives what stands before the damage."""
+    many = b"".join(map(record, range(6)))
+    whole = gzip.compress(many)
+    out = list(warc.salvage(whole + b"\0\0" + gzip.compress(record(9))))
+    assert numbers(out) == ["0", "1", "2", "3", "4", "5", "9"] and lost(out) == []
+    noisy = b"".join(record(i) + random.Random(i).randbytes(3000).hex().encode() * (i == 3) for i in range(6))
+    out = list(warc.salvage(gzip.compress(noisy) + gzip.compress(record(7))))
+    assert numbers(out) == ["0", "1", "2", "3", "4", "5", "7"] and lost(out) == [(0, len(gzip.compress(noisy)))]
+    big = b"".join(record(i)[:-4] + b"\r\n\r\n" for i in range(300))
+    cut = gzip.compress(big, 0)[: len(big) // 2]  # stored as it is: all but some 60 bytes of it are the records'
+    out = list(warc.salvage(cut))
+    ends = [0]
+    for i in range(300):
+        ends.append(ends[-1] + len(record(i)))
+    there = sum(e <= len(cut) - 100 for e in ends[1:])
+    assert numbers(out)[:there] == [str(i) for i in range(there)] and there <= len(numbers(out)) <= there + 1 and lost(out) == [(0, len(cut))]
+
+
+def test_salvage_is_linear():
+    data = b"".join(gzip.compress(record(i), 1) for i in range(40_000))
+    began = time.process_time()
+    out = list(warc.salvage(data))
+    assert len(data) > 8 << 20 and len(out) == 40_000 and time.process_time() - began < 10
+
+
+def test_store_reports_what_is_lost(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, "u", f"page {i} " * 40) for i in range(30)], "page_id long, url string, html string")
+    assert warc.store(spark, df, str(tmp_path / "a")).count() == 30
+    assert spark.read.parquet(str(tmp_path / "a" / "gaps")).count() == 0
+    assert warc.store(spark, df.limit(0), str(tmp_path / "c")).count() == 0
+    whole = warc.write
+
+    def damaged(pages, path):
+        whole(pages, path)
+        for f in sorted((tmp_path / "b" / "archives").glob("part-*"))[:1]:
+            raw = bytearray(f.read_bytes())
+            raw[40] ^= 0x55
+            f.write_bytes(bytes(raw))
+        for f in (tmp_path / "b" / "archives").glob(".*.crc"):
+            f.unlink()
+
+    monkeypatch.setattr(warc, "write", damaged)
+    with pytest.raises(RuntimeError, match="29 records read"):
+        warc.store(spark, df, str(tmp_path / "b"))
+    assert [x.begin for x in spark.read.parquet(str(tmp_path / "b" / "gaps")).collect()] == [0]
