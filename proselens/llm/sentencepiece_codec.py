@@ -1,6 +1,6 @@
 """SentencePiece encoding by suffix-array matching, and decoding.
 
-A bucket sets its distinct pre-tokens end to end and builds their suffix array. Every piece of the vocabulary is binary
+A batch sets its distinct pre-tokens end to end and builds their suffix array. Every piece of the vocabulary is binary
 searched for its range of occurrences; the occurrences are edges of a graph over text positions, sorted by position and
 relaxed in that order. The model is a merge model, so relaxing asks whether the best path to an edge's start may be
 followed by the edge's piece: two pieces may stand side by side if no merge over their border comes first. Each position
@@ -16,9 +16,11 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from proselens.llm.common import table
-from proselens.llm.pretokens import MARK, cut, exchange, unpack
+from proselens.llm.pretokens import MARK, cut
 from proselens.llm.suffix_dedup import suffix_array
 from proselens.llm.token_counts import library
 
@@ -65,6 +67,7 @@ class Pieces:
         self.high = np.array([int.from_bytes(b.ljust(8, b"\xff"), "big") for b, _ in short], np.uint64)
         self.short = [(i, len(b)) for b, i in short]
         self.long = [(b, i) for b, i in self.raw if len(b) > 8]
+        self.lead = np.array([int.from_bytes(b[:8], "big") for b, _ in self.long], np.uint64)
         self.out = [b"" if sp.is_control(i) else bytes([int(t[3:5], 16)]) if sp.is_byte(i) else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)]
         self.out[sp.unk_id()] = " ⁇ ".encode()
         self.runs: dict[int, list[int]] = {}
@@ -148,9 +151,9 @@ class Pieces:
         ranges = [np.searchsorted(lead, self.low), np.searchsorted(lead, self.high, "right")]
         ids, sizes = [i for i, _ in self.short], [n for _, n in self.short]
         froms, tos = [ranges[0]], [ranges[1]]
-        for b, i in self.long:  # beyond 8 bytes, search on inside the range
-            k = np.uint64(int.from_bytes(b[:8], "big"))
-            x, y = int(np.searchsorted(lead, k)), int(np.searchsorted(lead, k, "right"))
+        firsts, lasts = np.searchsorted(lead, self.lead), np.searchsorted(lead, self.lead, "right")
+        for j in np.flatnonzero(firsts < lasts).tolist():  # beyond 8 bytes, search on inside the range
+            (b, i), x, y = self.long[j], int(firsts[j]), int(lasts[j])
             for o in range(8, len(b), 8):
                 if x == y:
                     break
@@ -253,49 +256,86 @@ def tables(model: str) -> Pieces:
     return Pieces(model)
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, n_tokens, ids array<int>, decoded) of each row of docs(doc_id, text).
+class Memo:
+    """Numbers of pre-tokens and their ids, end to end. Cleared when it holds `most` pre-tokens, so that it stays small."""
 
-    A null or empty text has no ids and decodes to the empty text. decoded is what the ids give back: the text, but for
-    the word mark itself, which the model can't tell from a space.
+    def __init__(self, pieces: Pieces, most: int):
+        self.pieces, self.most = pieces, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        new = [w for w in dict.fromkeys(words) if w not in self.numbers]
+        if self.numbers and len(self.numbers) + len(new) > self.most:
+            self.clear()
+            new = list(dict.fromkeys(words))
+        if new:
+            coded = self.pieces.encode_pretokens(new)
+            self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new))))
+            self.flat = np.concatenate([self.flat, np.fromiter((i for c in coded for i in c), np.int32)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(c) for c in coded])])
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids end to end, and where each word's end."""
+        self.learn(words)
+        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        start, n = self.ends[at], self.ends[at + 1] - self.ends[at]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+def encode(docs: DataFrame, model: str, most: int = 2 << 20, memo: int = 400_000) -> DataFrame:
+    """(doc_id, n_tokens, ids array<int>, decoded) of each row of docs(doc_id, text); other columns are left out.
+
+    A task takes its rows in batches of about `most` characters, indexes the pre-tokens that it hasn't met, and keeps
+    their ids (of `memo` pre-tokens at most); nothing is shuffled, so a lost task runs again by itself. A null or empty
+    text has no ids and decodes to the empty text; doc_id keeps its type and may be null or repeat. decoded is what the
+    ids give back: the text, but for the word mark itself, which the model can't tell from a space.
     """
+    kind = docs.schema["doc_id"].dataType
+    out = T.StructType([T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+    def run(batches):
+        p = tables(model)
+        known = Memo(p, memo)
+
+        def coded(ids: pa.Array, texts: list) -> pa.RecordBatch:
+            rows = [cut(t) for t in texts]
+            flat, ends = known.ids([w for r in rows for w in r])
+            places = np.concatenate([[0], ends])[np.cumsum([0, *map(len, rows)])]
+            codes = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(flat, pa.int32()))
+            back = [p.decode(flat[a:b].tolist()) for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
+            return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(places), pa.int64()), codes, pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+
+        for b in batches:
+            at, some, n = 0, [], 0
+            for k, t in enumerate(b.column(1)):
+                some.append(t.as_py())
+                n += len(some[-1] or "")
+                if n >= most or k == b.num_rows - 1:
+                    yield coded(b.column(0).slice(at, len(some)), some)
+                    at, some, n = k + 1, [], 0
+
+    return docs.select("doc_id", "text").mapInArrow(run, out)
 
-    def send(texts):
-        numbers: dict[str, int] = {}
-        rows = [[numbers.setdefault(w, len(numbers)) for w in cut(t)] for t in texts]
-        return list(numbers), lambda some: (b"", b"", b""), (np.array([len(r) for r in rows], "<u4").tobytes(), np.array([i for r in rows for i in r], "<u4").tobytes(), b"")
-
-    def work(rows):
-        words = [unpack(r["sizes"], r["texts"]) for r in rows]
-        known = list({w for ws in words for w in ws})
-        ids = dict(zip(known, (np.array(x, "<u2") for x in tables(model).encode_pretokens(known)))) if known else {}
-        for ws in words:
-            got = [ids[w] for w in ws]
-            yield np.array([len(g) for g in got], "<u4").tobytes(), np.concatenate(got).tobytes(), b""
-
-    def join(ids, own, rows):
-        of: dict[int, list[int]] = {}
-        for r in rows:
-            every = np.frombuffer(r["b"], "<u2").tolist()
-            at = 0
-            for k, n in zip(np.frombuffer(r["keys"], "<u4").tolist(), np.frombuffer(r["a"], "<u4").tolist()):
-                of[k] = every[at : at + n]
-                at += n
-        lengths, seq, at = np.frombuffer(own["a"], "<u4").tolist(), np.frombuffer(own["b"], "<u4"), 0
+
+def decode(coded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
+    """coded with text: what the ids give back. Null ids give null; a column of coded called text is replaced."""
+    own = [f for f in coded.schema.fields if f.name != "text"]
+
+    def run(batches):
         p = tables(model)
-        codes, texts = [], []
-        for n in lengths:
-            codes.append(np.array([i for w in seq[at : at + n].tolist() for i in of[w]], np.int32))
-            texts.append(p.decode(codes[-1].tolist()))
-            at += n
-        return pa.table([pa.array(ids, pa.int64()), pa.array([len(c) for c in codes], pa.int64()), pa.array(codes, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+        for b in batches:
+            texts = [None if x is None else p.decode(x) for x in b.column(ids).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "text"])
 
-    return exchange(docs, send, work, join, "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return coded.select(*[f.name for f in own]).mapInArrow(run, T.StructType([*own, T.StructField("text", T.StringType())]))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids under piece_bpe_32k.model and the digest of the text decoded from them."""
-    from pyspark.sql import functions as F
-
     out = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
     return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))

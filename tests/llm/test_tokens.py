@@ -3,7 +3,7 @@ import random
 import public_tokenizers
 import sentencepiece
 
-from proselens.llm.sentencepiece_codec import encode, tables
+from proselens.llm.sentencepiece_codec import decode, encode, tables
 from proselens.llm.token_counts import count_tokens
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -29,6 +29,9 @@ def test_counts_and_ids_are_the_librarys(spark):
     coded = encode(df, MODEL).collect()
     key = lambda x: (x[0], x[1])
     assert sorted(((-1 if r.doc_id is None else r.doc_id, r.ids, r.decoded) for r in coded), key=key) == sorted(((-1 if i is None else i, LIB.encode(t or ""), (t or "").replace("▁", " ")) for i, t in docs), key=key)
+    small = encode(df, MODEL, most=300, memo=50)  # many batches, and a memo that is cleared again and again
+    assert sorted(((-1 if r.doc_id is None else r.doc_id, r.ids, r.decoded) for r in small.collect()), key=key) == sorted(((-1 if r.doc_id is None else r.doc_id, r.ids, r.decoded) for r in coded), key=key)
+    assert all(r.text == r.decoded for r in decode(small, MODEL).collect())
     assert count_tokens(df.limit(0), MODEL).collect() == encode(df.limit(0), MODEL).collect() == []
 
 
