@@ -165,10 +165,10 @@ def test_members_of_several_records():
 
 
 def test_salvage_is_linear():
-    data = b"".join(gzip.compress(record(i), 1) for i in range(40_000))
+    data = b"".join(gzip.compress(record(i), 0) for i in range(40_000))
     began = time.process_time()
     out = list(warc.salvage(data))
-    assert len(data) > 8 << 20 and len(out) == 40_000 and time.process_time() - began < 10
+    assert len(data) > 16 << 20 and len(out) == 40_000 and time.process_time() - began < 10
 
 
 def test_store_reports_what_is_lost(spark, tmp_path, monkeypatch):
