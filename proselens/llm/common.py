@@ -53,6 +53,19 @@ def parts_for(total: int, each: int) -> int:
     return max(1, math.ceil((total or 0) / each))
 
 
+def others(docs: DataFrame, *names: str) -> list[str]:
+    """The columns of docs that are named like none of names, whatever the case of letters."""
+    taken = {n.lower() for n in names}
+    return [c for c in docs.columns if c.lower() not in taken]
+
+
+def free_name(name: str, docs: DataFrame) -> str:
+    """A column name that docs doesn't have in any case of letters: name, with underscores before it as needed."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    return name
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
 

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from proselens.llm import substring_dedup, suffix_dedup
+from proselens.llm import substring_dedup, suffix_dedup, windows
 
 
 def brute(docs, units, join, size):
@@ -48,17 +48,21 @@ def corpus(seed):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_word_windows(spark, seed):
     docs = corpus(seed)
-    df = spark.createDataFrame([(i, t, "k", 1) for i, t in docs], "doc_id long, text string, n_units string, __x int")
-    out = substring_dedup.dedup(df, block_bytes=3000)
+    df = spark.createDataFrame([(i, t, "k", 1, 2, 3) for i, t in docs], "doc_id long, text string, n_units string, KEPT int, block int, __block int")
+    out = substring_dedup.dedup(df, block_bytes=3000, hot=1 << 16 if seed == 1 else 2)
+    assert out.columns == ["doc_id", "text", "block", "__block", "n_units", "n_removed", "n_spans", "kept"]
     got = sorted((r.doc_id if r.doc_id is not None else 1 << 62, r.n_units, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out.collect())
     assert got == brute(docs, words, b" ".join, 50)
     assert sum(g[2] for g in got) > 0
 
 
-def test_byte_windows(spark):
+@pytest.mark.parametrize("hot", [1 << 16, 2])
+def test_byte_windows(spark, hot, monkeypatch):
+    """Hot minimisers are cut into single windows; slices of a bucket are small."""
+    monkeypatch.setattr(windows, "SLICE", 500)
     docs = corpus(3)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    out = suffix_dedup.dedup(df, block_bytes=3000)
+    out = suffix_dedup.dedup(df, block_bytes=3000, hot=hot)
     got = sorted((r.doc_id if r.doc_id is not None else 1 << 62, r.n_units, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out.collect())
     assert got == brute(docs, octets, bytes, 50)
 
