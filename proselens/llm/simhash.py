@@ -25,6 +25,10 @@ from proselens.llm.components import components
 CELL = 8192
 #: Shingle sets in one verification at most; a larger group is split into pairs of parts.
 GROUP = 1024
+#: Keys that are broadcast; sixteen bytes each.
+FEW = 1 << 16
+#: Stands for a null id: larger than all.
+NO_ID = (1 << 63) - 1
 SECTION = 32
 
 
@@ -73,6 +77,14 @@ def sampled_tables(bits: int, key_bits: int, tables: int) -> list[list[int]]:
     return [sorted(r.choice(bits, key_bits, replace=False).tolist()) for _ in range(tables)]
 
 
+def tables_for(n: int, bits: int, similarity: float, found: float = 0.999) -> list[list[int]]:
+    """Sampled tables for n fingerprints: keys long enough that unrelated fingerprints make buckets of about 32 however
+    many there are, and as many tables as find a pair at the mean distance of `similarity` with probability `found`."""
+    distance = math.acos(2 * similarity / (1 + similarity)) / math.pi  # of sets of one size, as a share of the bits
+    key_bits = min(max(8, math.ceil(math.log2(max(n, 1) + 1)) - 5), bits // 2)
+    return sampled_tables(bits, key_bits, math.ceil(math.log(1 - found) / math.log(1 - (1 - distance) ** key_bits)))
+
+
 def _sum(planes: np.ndarray) -> list[np.ndarray]:
     """Carry-save sum of the planes: rows of the lanes' counts, lowest bit first."""
     out = []
@@ -285,11 +297,16 @@ def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
         yield out
 
 
-def _cells(rows: DataFrame, large: DataFrame, key: str) -> DataFrame:
-    """rows(key, node, ...) with each key of large(key, parts) replaced by one key for each pair of parts that holds the node's."""
+def _cells(rows: DataFrame, counts: DataFrame, key: str, most: int) -> DataFrame:
+    """rows(key, node, ...) with each key of counts(key, count) of over `most` rows replaced by one key for each pair of
+    parts that holds the node's. Such keys are broadcast while they are few, and joined beyond."""
+    large = checkpoint(counts.where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).alias("parts")))
+    n = large.count()
+    if not n:
+        return rows.withColumnRenamed(key, "key")
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     cells = F.expr(f"transform(filter(sequence(0L, parts - 1), o -> o <> part), o -> xxhash64({key}, least(o, part), greatest(o, part)))")
-    rows = rows.join(large, key, "left").withColumn("part", part)
+    rows = rows.join(F.broadcast(large) if n <= FEW else large, key, "left").withColumn("part", part)
     return rows.select(F.explode(F.when(F.col("parts").isNull(), F.array(key)).otherwise(cells)).alias("key"), *[c for c in rows.columns if c not in (key, "parts", "part")])
 
 
@@ -301,27 +318,27 @@ def _links_in_radius(nodes: DataFrame, radius: int, tables: list[list[int]]) ->
         for b in batches:
             all_bits = np.unpackbits(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)
             for t, pick in enumerate(picks):
-                raw = np.zeros((b.num_rows, 64), np.uint8)
+                raw = np.zeros((b.num_rows, 64 * -(-len(pick) // 64)), np.uint8)
                 raw[:, : len(pick)] = all_bits[:, pick]
-                key = _mix(np.packbits(raw, axis=1).view(np.uint64).ravel() + np.uint64(t * 0x9E3779B97F4A7C15 % (1 << 64)))
+                key = np.full(b.num_rows, t * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)
+                for word in np.packbits(raw, axis=1).view(np.uint64).T:
+                    key = _mix(key + word)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0), b.column(1)], names=["key", "print", "node"])
 
     keyed = nodes.select("print", "node").mapInArrow(keys, "key long, print binary, node long")
-    large = keyed.groupBy("key").count().where(F.col("count") > CELL).withColumn("parts", F.ceil(F.col("count") / CELL)).drop("count")
-    keyed = _cells(keyed, large, "key").select("key", "print", "node")
+    keyed = _cells(keyed, keyed.groupBy("key").count(), "key", CELL).select("key", "print", "node")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: _compare(x, radius), "a long, b long")
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, bits: int = 64, radius: int = 3, tables: list[list[int]] | None = None, **names) -> DataFrame:
     """(doc_id, print, component_id) of every row: the smallest id reachable over fingerprints within the radius.
 
-    Equal fingerprints are one node, so copies add no comparisons. Null texts have fingerprint zero; null ids take part
-    but are never a component's id unless it has no other. Without tables the search is exact.
+    Equal fingerprints are one node, so copies add no comparisons, and ids may repeat. Null texts have fingerprint zero;
+    null ids take part but are never a component's id unless it has no other. Without tables the search is exact.
     """
     rows = checkpoint(fingerprints(docs, shingle, bits, **names))
     nodes = rows.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    number = F.conv(F.hex("print"), 16, -10).cast("long") if bits == 64 else F.coalesce("rep", F.xxhash64("print"))
-    nodes = checkpoint(nodes.withColumn("node", number))
+    nodes = checkpoint(nodes.withColumn("node", F.monotonically_increasing_id()))
     roots = components(_links_in_radius(nodes, radius, tables or exact_tables(bits, radius)))
     linked = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("m"))
@@ -329,42 +346,46 @@ def near_groups(docs: DataFrame, shingle: int = 3, bits: int = 64, radius: int =
     return join_hot(rows, linked, "print", "n", rows.count()).select("doc_id", "print", "component_id")
 
 
-def similar_groups(docs: DataFrame, shingle: int, bits: int, radius: int, tables: list[list[int]], similarity: float) -> DataFrame:
-    """(doc_id, component_id) of every row: the smallest id reachable over documents whose sets of shingles have a Jaccard
-    similarity of at least `similarity`.
+def similar_groups(docs: DataFrame, shingle: int, bits: int, radius: int, similarity: float, tables: list[list[int]] | None = None) -> DataFrame:
+    """(doc_id, mark, component_id, first) of every row of docs(doc_id, text): the smallest id reachable over documents
+    whose sets of shingles have a Jaccard similarity of at least `similarity`; mark is xxhash64 of the text, and first
+    says that no row of the group has a smaller id, or an equal one with a smaller mark.
 
     Fingerprints within the radius only say which documents to look at: the groups that they make are joined anew by
-    exact similarity, all pairs of a group included. Texts with equal sets are one node. Null ids as in near_groups().
+    exact similarity, all pairs of a group included. Texts with equal sets are one node, told apart from others by the
+    fingerprint and a hash of the set together (bits + 64 bits), so ids may repeat. A null id counts as larger than all;
+    texts without words, null or not, are one group.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
 
     def prints(batches):
         for b in batches:
             hashes = [shingle_hashes(t, shingle) for t in b.column(1).to_pylist()]
-            content = np.array([xxhash.xxh64_intdigest(np.unique(h).tobytes()) for h in hashes], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([_print(h, bits) for h in hashes], pa.binary()), pa.array(content)], names=["doc_id", "mark", "print", "content"])
+            code = [_print(h, bits) + xxhash.xxh64_digest(np.unique(h).tobytes()) for h in hashes]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(code, pa.binary())], names=["doc_id", "mark", "code"])
 
-    rows = texts.mapInArrow(prints, "doc_id long, mark long, print binary, content long")
-    rows = checkpoint(rows.select("doc_id", "mark", "print", F.xxhash64("print", "content").alias("node")))
-    nodes = checkpoint(rows.groupBy("node").agg(F.first("print").alias("print"), F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "mark")).alias("row"), F.count("*").alias("n")))
-    roots = components(_links_in_radius(nodes, radius, tables))
-    members = checkpoint(nodes.join(roots, "node").select("root", "node", F.col("row.doc_id").alias("id"), F.col("row.mark").alias("mark")))
+    rows = checkpoint(texts.mapInArrow(prints, "doc_id long, mark long, code binary"))
+    place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "mark")
+    nodes = rows.groupBy("code").agg(F.min(place).alias("row"), F.count("*").alias("n"))
+    nodes = checkpoint(nodes.withColumn("node", F.monotonically_increasing_id()))
+    tables = tables or tables_for(nodes.count(), bits, similarity)
+    roots = components(_links_in_radius(nodes.select(F.substring("code", 1, bits // 8).alias("print"), "node"), radius, tables))
+    members = checkpoint(nodes.join(roots, "node").select("root", "node", "row.id", F.col("row.mark").alias("m")))
 
     def sets(batches):
         for b in batches:
             content = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(content, pa.binary())], names=["root", "node", "content"])
 
-    found = texts.join(members.withColumnRenamed("mark", "m").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")))
+    found = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(members.hint("shuffle_hash"), (F.col("doc_id") == F.col("id")) & (F.col("mark") == F.col("m")))
     found = found.select("root", "node", "text").mapInArrow(sets, "root long, node long, content binary")
-    large = members.groupBy("root").count().where(F.col("count") > GROUP).withColumn("parts", F.ceil(F.col("count") / GROUP)).drop("count")
-    found = _cells(found, large, "root").select("key", "node", "content")
-    links = found.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: _verify(x, similarity), "a long, b long")
-    roots = components(links)
+    found = _cells(found, members.groupBy("root").count(), "root", GROUP).select("key", "node", "content")
+    roots = components(found.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: _verify(x, similarity), "a long, b long"))
     linked = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("m"))
-    linked = checkpoint(join_hot(linked, ids, "root", "m", nodes.count()).select("node", "component_id", "n"))
-    return join_hot(rows, linked, "node", "n", rows.count()).select("doc_id", "component_id")
+    ids = linked.groupBy("root").agg(F.min("row").alias("least"), F.count("*").alias("m"))
+    linked = checkpoint(join_hot(linked, ids, "root", "m", nodes.count()).select("code", "least", "n"))
+    out = join_hot(rows, linked, "code", "n", rows.count())
+    return out.select("doc_id", "mark", F.nullif("least.id", F.lit(NO_ID)).alias("component_id"), (place == F.col("least")).alias("first"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,6 +108,6 @@ def test_similar_links(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP", 5)
     texts = [" ".join(str(x) for x in s) for s in sets]
     docs = spark.createDataFrame([*enumerate(texts), (900, texts[0]), (None, texts[0]), (901, None), (902, "")], "doc_id long, text string")
-    got = {x.doc_id: x.component_id for x in simhash.similar_groups(docs, 1, 64, 64, [[0], [1]], 0.8).collect()}
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(docs, 1, 64, 64, 0.8, [[0], [1]]).collect()}
     want = groups(range(len(sets)), near)
     assert got == {**want, 900: want[0], None: want[0], 901: 901, 902: 901}
