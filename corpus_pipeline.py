@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proselens.llm import decontamination, quality, sentencepiece_codec, simhash, substring_dedup
-from proselens.llm.common import scratch, table
+from proselens.llm.common import checkpoint, free_name, scratch, table
 
 #: 256-bit fingerprints of five-word shingles find candidates; similarity 0.8 of the sets of shingles decides.
 #: Pairs of similarity 0.8 differ in 39 bits with a deviation of 6, so that the radius leaves out about one in 10,000.
-NEAR = {"shingle": 5, "bits": 256, "radius": 60, "tables": simhash.sampled_tables(256, 12, 64), "similarity": 0.8}
+NEAR = {"shingle": 5, "bits": 256, "radius": 60, "similarity": 0.8}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; rows with a null id stay."""
-    groups = simhash.similar_groups(docs, **NEAR).where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies one row stays: the one with the smallest id, a null id being larger than all. Rows are
+    told apart by id and text, so that a row that shares its id with a copy stays; of rows equal in both one stays."""
+    mark = free_name("mark", docs)
+    groups = simhash.similar_groups(docs, **NEAR)
+    same = lambda some: F.col(id_).eqNullSafe(some["doc_id"]) & (F.col(mark) == some["m"])
+    id_ = free_name("id", docs)
+    rows = docs.withColumns({mark: F.xxhash64("text"), id_: F.col("doc_id").cast("long")})
+    gone = groups.where("not first").select("doc_id", F.col("mark").alias("m")).distinct()
+    rows = rows.join(gone, same(gone), "left_anti")
+    twice = checkpoint(groups.where("first").groupBy("doc_id", F.col("mark").alias("m")).count().where("count > 1").drop("count"))
+    if twice.isEmpty():
+        return rows.select(*docs.columns)
+    one = rows.join(twice, same(twice), "left_semi").groupBy(id_, mark).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return rows.join(twice, same(twice), "left_anti").select(*docs.columns).unionByName(one)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
