@@ -1,6 +1,5 @@
 """The queries of this subpackage, and their SQL where SQL can express them on whole tables."""
 
-import corpus_pipeline
 from proselens.llm.decontamination import op7_decontamination
 from proselens.llm.quality import OP5_SQL, op5_quality
 from proselens.llm.sentencepiece_codec import op8_sentencepiece
@@ -23,7 +22,6 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_sharding": op9_sharding,
     "op10_suffix_dedup": op10_suffix_dedup,
-    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {

@@ -1,4 +1,9 @@
+import os
+import pathlib
 import random
+import shutil
+import subprocess
+import sys
 
 import corpus_pipeline
 
@@ -108,3 +113,17 @@ def test_share_of_pairs_found(spark):
         df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(docs)], "doc_id long, text string, source string")
         stays = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, df, "").collect()}
         assert stays >= set(range(0, len(docs), 2)) and len(docs) - len(stays) >= 90
+
+
+def test_entry_without_the_pipeline_or_the_operators(tmp_path):
+    """Without the folder of the operators the entry imports; without the pipeline alone it fails."""
+    root = pathlib.Path(corpus_pipeline.__file__).parent
+    for name in ("proselens", "__spark_entry__.py", "corpus_pipeline.py"):
+        (shutil.copytree if (root / name).is_dir() else shutil.copy)(root / name, tmp_path / name)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    every = int(run().stdout)
+    (tmp_path / "corpus_pipeline.py").unlink()
+    got = run()
+    assert got.returncode and "corpus_pipeline" in got.stderr
+    shutil.rmtree(tmp_path / "proselens" / "llm")
+    assert int(run().stdout) == every - 11
