@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from proselens.functions import text as T
+
 
 def duplicates(people: DataFrame) -> DataFrame:
     """BB-3: people(id, name) with equal names, each with the one before it."""
@@ -34,20 +36,115 @@ def degrees(pairs: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), "weight").unionByName(e.select(F.col("b").alias("node"), "weight")).groupBy("node").agg(F.sum("weight").alias("degree"))
 
 
-def expiring(plants: DataFrame, now: int | None = None, threshold: int = 5) -> DataFrame:
-    """BB-7: plants(id, planted, status) pending for `threshold` chapters or more; now is the last planted unless given."""
-    last = plants.agg(F.max("planted").alias("now")) if now is None else plants.sparkSession.createDataFrame([(now,)], "now int")
-    return plants.where("status = 'pending'").crossJoin(F.broadcast(last)).where(F.col("now") - F.col("planted") >= threshold).select("id", "planted", (F.col("now") - F.col("planted")).alias("age"))
+def expiring(plants: DataFrame, people: DataFrame | None = None, now: int | None = None, threshold: int = 5) -> DataFrame:
+    """BB-7: plants(id, planted, status) pending for `threshold` chapters or more. now is given, else the last chapter
+    that a character of people(last_appear_ch) appears in, else (none, or chapter 0) the last pending plant's."""
+    pending = plants.where("status = 'pending'")
+    if now is not None:
+        last = pending.sparkSession.range(1).select(F.lit(now).alias("now"))
+    else:
+        seen = people.agg(F.max("last_appear_ch").alias("c")) if people is not None else pending.sparkSession.range(1).select(F.lit(None).cast("int").alias("c"))
+        last = pending.agg(F.max("planted").alias("p")).crossJoin(seen).select(F.coalesce(F.nullif("c", F.lit(0)), F.greatest("p", F.lit(0))).alias("now"))
+    return pending.crossJoin(F.broadcast(last)).where(F.col("now") - F.col("planted") >= threshold).select("id", "planted", (F.col("now") - F.col("planted")).alias("age"))
+
+
+def rows(log: DataFrame, key: str = "id", seq: str = "seq", kind: str = "kind") -> DataFrame:
+    """BB-1, BB-6, BB-9, DB-4, DB-8: the table that an event log leaves: log(key, seq, kind, fields...) with kinds insert,
+    update and delete, each with the fields that it sets, others null.
+
+    An update before the insert changes nothing, a row deleted after its insert is gone, and a field has its last value.
+    One aggregate with partial sums, so that a key with very many events is no single task's burden.
+    """
+    fields = [c for c in log.columns if c not in (key, seq, kind)]
+    last = [F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(seq).alias("at"), F.col(c).alias("v")))).alias(c) for c in fields]
+    g = log.groupBy(key).agg(F.min(F.when(F.col(kind) == "insert", F.col(seq))).alias("__born"), F.max(F.when(F.col(kind) == "delete", F.col(seq))).alias("__dead"), *last)
+    there = g.where("__born is not null and (__dead is null or __dead < __born)")
+    return there.select(key, *[F.when(F.col(c)["at"] >= F.col("__born"), F.col(c)["v"]).alias(c) for c in fields])
+
+
+def appearances(people: DataFrame, seen: DataFrame) -> DataFrame:
+    """BB-2: people(id, ...) with first_appear_ch (the first recorded in seen(id, seq, chapter), 0 being none) and
+    last_appear_ch (the largest, 0 at least); null for people that never appear."""
+    chapter = F.col("chapter")
+    g = seen.groupBy("id").agg(F.min_by("chapter", F.when(chapter != 0, F.col("seq"))).alias("f"), F.max(chapter).alias("last"), F.max((chapter != 0).cast("int")).alias("any"))
+    g = g.select("id", F.when(F.col("any") == 1, F.col("f")).otherwise(0).alias("first_appear_ch"), F.greatest("last", F.lit(0)).alias("last_appear_ch"))
+    return people.drop("first_appear_ch", "last_appear_ch").join(g, "id", "left")
+
+
+def unresolved(plants: DataFrame) -> DataFrame:
+    """BB-6: pending plants, by the chapter that they were planted in."""
+    return plants.where("status = 'pending'").orderBy("planted", "id")
+
+
+def rules(table: DataFrame, category: str | None = None, hard: bool = False) -> DataFrame:
+    """BB-9: rules(id, category, key, is_hard_rule, ...) of a category, or the hard ones, by category and key."""
+    t = table.where(F.col("category") == category) if category is not None else table
+    return (t.where("is_hard_rule") if hard else t).orderBy("category", "key", "id")
+
+
+def cooccurrences(mentions: DataFrame) -> DataFrame:
+    """(char_a, char_b, chapter, count): how often two different characters of mentions(chapter, place, id) share a place
+    of a chapter, each pair once. The builder that the graph of BB-5 needs."""
+    m = mentions.distinct()
+    a, b = m.withColumnRenamed("id", "char_a"), m.withColumnRenamed("id", "char_b")
+    return a.join(b, ["chapter", "place"]).where("char_a < char_b").groupBy("char_a", "char_b", "chapter").agg(F.count("*").alias("count"))
+
+
+def network(people: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """BB-5: nodes (active people with their weighted degree, zero if none) and edges (both orientations merged, weights
+    added, chapters in order) of pairs(char_a, char_b, chapter, count). Inactive people stay in the edges."""
+    e = pairs.groupBy(F.least("char_a", "char_b").alias("a"), F.greatest("char_a", "char_b").alias("b")).agg(F.sum("count").alias("weight"), F.sort_array(F.collect_list("chapter")).alias("chapters"))
+    ends = pairs.select(F.explode(F.array("char_a", "char_b")).alias("id"), "count").groupBy("id").agg(F.sum("count").alias("d"))
+    nodes = people.where("status = 'active'").join(ends, "id", "left").select("id", "name", F.coalesce("d", F.lit(0)).alias("degree"))
+    return nodes, e
 
 
 def insert_new(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """DB-1: rows whose key is not there are added; the smallest of equal new keys counts."""
-    return table.unionByName(rows.join(table, key, "left_anti").dropDuplicates([key]))
+    """DB-1: rows whose key is not there are added; of equal new keys the smallest row counts."""
+    new = rows.join(table, key, "left_anti").groupBy(key).agg(F.min(F.struct(*rows.columns)).alias("r")).select("r.*")
+    return table.unionByName(new)
+
+
+def active(books: DataFrame) -> DataFrame:
+    """DB-3: active books, those never analysed first, then the longest ago."""
+    return books.where("status = 'active'").orderBy(F.col("last_analyzed_at").asc_nulls_first(), "id")
+
+
+def of(table: DataFrame, order: Column | str, **keys) -> DataFrame:
+    """DB-2: rows of a table with the given values, in order: a book, its chapters, reviews or analyses."""
+    for k, v in keys.items():
+        table = table.where(F.col(k) == v)
+    return table.orderBy(order)
+
+
+def gaps(events: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """DB-6: gaps after events(module, gap_type, description, at), beside prior gaps of the same shape as the result.
+
+    An event adds to the gap of its module, type and description that isn't closed (the smallest id of several), else
+    to a new open one. Only counts of events meet the prior rows; an id is made of the key and the first event.
+    """
+    key = ["module", "gap_type", "description"]
+    new = events.groupBy(*key).agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high"))
+    fresh = lambda: F.substring(F.sha2(F.concat_ws("|", *key, F.date_format("low", "yyyy-MM-dd HH:mm:ss")), 256), 1, 12)
+    if prior is None:
+        return new.select(fresh().alias("id"), *key, F.col("low").alias("first_seen"), F.col("high").alias("last_seen"), F.col("n").alias("occurrence_count"), F.lit("open").alias("status"))
+    target = prior.where("status <> 'closed'").groupBy(*key).agg(F.min("id").alias("id"))
+    hit = new.join(target, key, "left")
+    grown = prior.join(hit.where("id is not null").select("id", "n", "high"), "id", "left")
+    grown = grown.select("id", *key, "first_seen", F.greatest("last_seen", "high").alias("last_seen"), (F.col("occurrence_count") + F.coalesce("n", F.lit(0))).alias("occurrence_count"), "status")
+    added = hit.where("id is null").select(fresh().alias("id"), *key, F.col("low").alias("first_seen"), F.col("high").alias("last_seen"), F.col("n").alias("occurrence_count"), F.lit("open").alias("status"))
+    return grown.unionByName(added)
+
+
+def open_gaps(gaps: DataFrame) -> DataFrame:
+    """DB-7: open gaps, the most frequent first."""
+    return gaps.where("status = 'open'").orderBy(F.desc("occurrence_count"), "id")
 
 
-def gaps(events: DataFrame) -> DataFrame:
-    """DB-6, DB-7: open gaps of events(module, gap_type, at), most frequent first seen to last seen."""
-    return events.groupBy("module", "gap_type").agg(F.count("*").alias("occurrence_count"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"))
+def manual_reviews(texts: DataFrame) -> DataFrame:
+    """DB-10: texts(book_id, text) as reviews: (book_id, line, content), one for each line that isn't blank."""
+    lines = F.posexplode(F.split(T.strip(F.col("text")), "\n")).alias("line", "x")
+    return texts.select("book_id", lines).select("book_id", "line", T.strip(F.col("x")).alias("content")).where("content <> ''")
 
 
 def confusion(verdicts: DataFrame) -> DataFrame:

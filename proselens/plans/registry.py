@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from proselens.functions import fixed_values as V
 from proselens.operators import consistency, emotion, outline, reviews, stats, store, style
+from proselens.plans import stores
 from proselens.sources.tables import CHINESE, LATIN, chapters, documents, table
 
 HAN = "[一-鿿]"
@@ -65,11 +66,6 @@ def people(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.col("c_mktsegment"), (F.col("c_custkey") % 50).cast("string")).alias("name"))
 
 
-def plants(spark, d):
-    o = table(spark, d, "orders")
-    return o.select(F.col("o_orderkey").alias("id"), F.datediff("o_orderdate", F.lit("1992-01-01")).alias("planted"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("resolved").alias("status"))
-
-
 def verdicts(spark, d):
     t = stats.pacing(documents(spark, d)).join(table(spark, d, "labels"), "doc_id")
     return store.confusion(t.select(F.lit("pacing").alias("dimension"), (F.col("action_density") < 15).alias("tool_bad"), (F.col("quality") == 0).alias("review_bad")))
@@ -114,9 +110,6 @@ QUERIES = {k: (lambda spark, d, f=f: f(documents(spark, d))) for k, f in ON_DOCU
     "bb04_aliases": lambda s, d: store.aliases(table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.substring("s_name", -3, 3), F.lit("x")).alias("name"))),
     "bb05_graph": lambda s, d: store.graph(pairs(s, d)),
     "bb05_degrees": lambda s, d: store.degrees(pairs(s, d)),
-    "bb07_expiring": lambda s, d: store.expiring(plants(s, d)),
-    "db01_insert_new": lambda s, d: store.insert_new(table(s, d, "region").select(F.col("r_regionkey").cast("long").alias("id")), table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("id")), "id"),
-    "db06_gaps": lambda s, d: store.gaps(table(s, d, "events").select(F.col("event_type").alias("module"), (F.col("user_id") % 10).alias("gap_type"), F.col("ts").alias("at"))),
     "vl06_verdicts": verdicts,
     "cn07_time_marks": lambda s, d: consistency.time_marks(marked(s, d)),
     "cn08_time_issues": lambda s, d: consistency.time_issues(marked(s, d)),
@@ -154,7 +147,7 @@ DENSE = f"greatest({N(HAN)}, 1)::DOUBLE"
 SPOKEN = "array_to_string(regexp_extract_all(t, '「([^」]*)」', 1), '') || array_to_string(regexp_extract_all(t, '“([^”]*)”', 1), '')"
 ONCE = lambda ws: " + ".join(f"contains(t, '{w}')::INT" for w in ws)
 PAT = lambda k: " + ".join(N(p) for c, p in V.WEASEL_PATTERNS if c == k)
-ORDERS = "i AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem), pr AS (SELECT x.s AS a, y.s AS b FROM i x JOIN i y USING (o) WHERE x.s <> y.s AND (x.s + y.s + o) % 2 = 0), g AS (SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS weight, count(*) AS times FROM pr GROUP BY ALL)"
+ORDERS = "i AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem), pr AS (SELECT x.s AS a, y.s AS b FROM i x JOIN i y USING (o) WHERE x.s <> y.s), g AS (SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS weight, count(*) AS times FROM pr GROUP BY ALL)"
 
 def _swapped(c, words):
     for a, b in words:
@@ -201,9 +194,6 @@ SQL = {
     "bb04_aliases": "WITH p AS (SELECT s_suppkey AS id, right(s_name, 3) || 'x' AS name FROM supplier), q AS (SELECT id, name, left(name, 1) AS f, list_distinct(string_split(name[2:], '')) AS r FROM p), x AS (SELECT a.id AS a, b.id AS b, 40 + least(len(list_intersect(a.r, b.r)) * 15, 30) + CASE WHEN abs(length(a.name) - length(b.name)) <= 1 THEN 10 ELSE 0 END AS score FROM q a JOIN q b ON a.f = b.f AND a.id < b.id) SELECT a, b, score, CASE WHEN score >= 70 THEN 'merge' ELSE 'review' END AS action FROM x WHERE score >= 50",
     "bb05_graph": f"WITH {ORDERS} SELECT * FROM g",
     "bb05_degrees": f"WITH {ORDERS} SELECT node, sum(weight)::BIGINT AS degree FROM (SELECT a AS node, weight FROM g UNION ALL SELECT b, weight FROM g) GROUP BY node",
-    "bb07_expiring": "WITH p AS (SELECT o_orderkey AS id, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS planted, o_orderstatus AS s FROM orders), m AS (SELECT max(planted) AS now FROM p) SELECT id, planted::INT AS planted, (now - planted)::INT AS age FROM p, m WHERE s = 'O' AND now - planted >= 5",
-    "db01_insert_new": "SELECT r_regionkey::BIGINT AS id FROM region UNION ALL SELECT DISTINCT n_nationkey::BIGINT FROM nation WHERE n_nationkey NOT IN (SELECT r_regionkey FROM region)",
-    "db06_gaps": "SELECT event_type AS module, user_id % 10 AS gap_type, count(*) AS occurrence_count, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY ALL",
     "vl06_verdicts": f"WITH {H}, x AS (SELECT {N('[' + V.ACTION + ']')} * 1000 / {DENSE} < 15 AS tool_bad, quality = 0 AS review_bad FROM h JOIN labels USING (doc_id)) SELECT 'pacing' AS dimension, CASE WHEN tool_bad = review_bad THEN 'matched' WHEN review_bad THEN 'false_negative' ELSE 'false_positive' END AS verdict, count(*) AS n FROM x GROUP BY ALL",
     "st22_rhythm": f"WITH {H}, x AS (SELECT doc_id, t, greatest(length(t) // 40, 1) AS z, unnest(range(40)) AS i FROM h WHERE length(t) >= 100), y AS (SELECT doc_id, i::INT AS i, substr(t, i * z + 1, CASE WHEN i < 39 THEN z ELSE length(t) END) AS w FROM x) SELECT doc_id, i, CASE WHEN length(w) > 0 THEN least(({TENTHS_R}) * 10 / length(w)::DOUBLE, 3::DOUBLE) ELSE 0 END AS intensity FROM y",
     "ln06_quick_scan": f"WITH {H}, x AS (SELECT doc_id, {N(HAN + '{1,3}地')} / {PER} AS a, {STARTS} AS s, {COUNT('！')} / {PER} AS e, {COUNT('了')} / {PER} AS l FROM h), y AS (SELECT *, len(list_filter(range(1, len(s)), lambda i: s[i] = s[i + 1]))::DOUBLE AS r FROM x) SELECT doc_id, 'adverb_abuse' AS type, 'warn' AS severity, a AS amount FROM y WHERE a > 2 UNION ALL SELECT doc_id, 'repetition', 'warn', r FROM y WHERE r > 1 UNION ALL SELECT doc_id, 'exclamation', 'info', e FROM y WHERE e > 5 UNION ALL SELECT doc_id, 'filler', 'info', l FROM y WHERE l > 8",
@@ -217,3 +207,7 @@ SQL = {
     "vl01_dimensions": f"WITH {H}, {_dims()}",
     "ht09_clean_titles": "SELECT p_partkey AS id, trim(p_name) AS title FROM part",
 }
+
+for part in (stores,):
+    QUERIES |= part.QUERIES
+    SQL |= part.SQL
