@@ -60,7 +60,7 @@ class Pieces:
         by = np.argsort(keys)
         self.n, self.keys, self.made = n, np.array(keys)[by], np.array(made)[by]
         # Longest-first binary search needs the pieces' bytes.
-        self.raw = [(t.encode(), self.id[t]) for t in self.pieces]
+        self.raw = sorted((t.encode(), self.id[t]) for t in self.pieces)
         self.longest = max(len(b) for b, _ in self.raw)
         short = [(b, i) for b, i in self.raw if len(b) <= 8]
         self.low = np.array([int.from_bytes(b.ljust(8, b"\0"), "big") for b, _ in short], np.uint64)
@@ -137,7 +137,12 @@ class Pieces:
         return ok
 
     def encode(self, words: list[str]) -> list[list[int]]:
-        """Ids of distinct words without newlines, none of which is empty or starts with two marks."""
+        flat, n = self.coded(words)
+        return [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])]
+
+    def coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words without newlines, none of which is empty or starts with two marks: all ids end to end,
+        and how many each word has."""
         data = "\n".join(words).encode() + b"\n"
         raw = np.frombuffer(data, np.uint8)
         ends = np.flatnonzero(raw == 10)
@@ -177,7 +182,7 @@ class Pieces:
         odd = heads[~known[heads] & (raw[heads] != 10)]
         width = np.diff(np.append(heads, len(raw)))[np.searchsorted(heads, odd)]
         start, piece, size = np.concatenate([start, odd]), np.concatenate([piece, np.full(len(odd), UNKNOWN)]), np.concatenate([size, width])
-        place = start - begin[np.searchsorted(ends, start)]
+        place = start - np.repeat(begin, ends + 1 - begin)[start]
         order = np.argsort(place, kind="stable")
         start, piece, size, place = start[order], piece[order], size[order], place[order]
         last, back = np.full(len(raw) + 1, -3, np.int64), np.zeros(len(raw) + 1, np.int64)
@@ -193,58 +198,65 @@ class Pieces:
             s, p, z = s[fits], p[fits], z[fits]
             last[s + z] = p
             back[s + z] = s
-        out: list[list[int]] = [[] for _ in words]
-        at, who = ends.copy(), np.arange(len(words))
-        steps = []
+        # Back from the words' ends; a token is noted where it starts, an unknown character's bytes where they stand.
+        token, has, at, who = np.full(len(raw), -1, np.int32), np.zeros(len(words), np.int64), ends.copy(), np.arange(len(words))
         while len(at):
-            s = back[at]
-            steps.append((who, last[at], s, at))
+            s, t = back[at], last[at]
+            known, odd = t != UNKNOWN, np.flatnonzero(t == UNKNOWN)
+            token[s[known]] = t[known]
+            np.add.at(has, who[known], 1)
+            for w, x, y in zip(who[odd].tolist(), s[odd].tolist(), at[odd].tolist()):
+                token[x:y] = [self.byte[c] for c in data[x:y]]
+                has[w] += y - x
             going = s != begin[who]
             at, who = s[going], who[going]
-        for who, tokens, s, e in reversed(steps):
-            for w, t, a, b in zip(who.tolist(), tokens.tolist(), s.tolist(), e.tolist()):
-                if t == UNKNOWN:
-                    out[w].extend(self.byte[c] for c in data[a:b])
-                else:
-                    out[w].append(t)
-        return out
+        return token[token >= 0], has
 
-    def encode_pretokens(self, words: list[str], batch: int = 512 << 10) -> list[list[int]]:
-        """Any pre-tokens. Marks before the last one merge among themselves after all else has merged.
+    def coded_pretokens(self, words: list[str], batch: int = 512 << 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of any distinct pre-tokens, as one array, and where in it each one's start and how many they are.
 
-        Pre-tokens are independent, so they are indexed in batches of about `batch` bytes: the edges take some hundreds
-        of bytes a byte of text. A longer pre-token is a batch of its own.
+        Marks before the last one merge among themselves after all else has merged. Pre-tokens are independent, so they
+        are indexed in batches of about `batch` characters: the edges take some hundreds of bytes a byte of text. A
+        longer pre-token is a batch of its own.
         """
-        core, plan = {}, []
-        for w in words:
-            rest = w.lstrip(MARK)
-            marks = len(w) - len(rest)
-            if not rest or w[0] == "\n":
-                plan.append((marks, None))
-            else:
-                c = MARK * min(marks, 1) + rest
-                plan.append((max(marks - 1, 0), core.setdefault(c, len(core))))
-        coded: list[list[int]] = []
-        some, n = [], 0
-        for c in core:
-            some.append(c)
-            n += len(c.encode()) + 1
-            if n >= batch:
-                coded += self.encode(some)
-                some, n = [], 0
-        if some:
-            coded += self.encode(some)
-        out = []
-        for w, (marks, c) in zip(words, plan):
-            if c is None:
-                out.append(self.marks(marks) if marks else self.byte[10:11] * len(w))
-            elif not marks:
-                out.append(coded[c])
-            elif coded[c][0] == self.id.get(MARK):
-                out.append(self.marks(marks + 1) + coded[c][1:])
+        plain = [w for w in words if w[0] != "\n" and (w[0] != MARK or (len(w) > 1 and w[1] != MARK))]
+        at = dict(zip(plain, range(len(plain)))) if len(plain) < len(words) else {}
+        odd = []  # newlines, and marks before a mark
+        for k, w in enumerate(words if at or not plain else ()):
+            if w not in at:
+                rest = w.lstrip(MARK)
+                odd.append((k, w, len(w) - len(rest), at.setdefault(MARK + rest, len(at)) if rest and w[0] != "\n" else -1))
+        core = list(at) if odd else plain
+        filled = np.cumsum(np.fromiter(map(len, core), np.int64, len(core))) if core else np.zeros(0, np.int64)
+        flats, counts, x = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        while x < len(core):
+            y = max(x + 1, int(np.searchsorted(filled, (filled[x - 1] if x else 0) + batch)))
+            flat, n = self.coded(core[x:y])
+            flats.append(flat)
+            counts.append(n)
+            x = y
+        flat, n = np.concatenate(flats), np.concatenate(counts)
+        start = np.cumsum(n) - n
+        if not odd:
+            return flat, start, n
+        more, total = [], len(flat)
+        starts, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        is_odd = np.zeros(len(words), bool)
+        for k, w, marks, c in odd:
+            if c < 0:
+                ids = self.marks(marks) if marks else self.byte[10:11] * len(w)
             else:
-                out.append(self.marks(marks) + coded[c])
-        return out
+                rest = flat[start[c] : start[c] + n[c]].tolist()
+                ids = self.marks(marks) + rest[1:] if rest[0] == self.id.get(MARK) else self.marks(marks - 1) + rest
+            is_odd[k], starts[k], sizes[k] = True, total, len(ids)
+            total += len(ids)
+            more.extend(ids)
+        starts[~is_odd], sizes[~is_odd] = start[: len(plain)], n[: len(plain)]
+        return np.concatenate([flat, np.array(more, np.int32)]), starts, sizes
+
+    def encode_pretokens(self, words: list[str], batch: int = 512 << 10) -> list[list[int]]:
+        flat, start, n = self.coded_pretokens(words, batch)
+        return [flat[a : a + k].tolist() for a, k in zip(start.tolist(), n.tolist())]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes of the pieces, without the space that encoding puts first."""
@@ -265,7 +277,7 @@ class Memo:
 
     def clear(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.flat, self.start, self.n = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, words: list[str]) -> None:
         new = [w for w in dict.fromkeys(words) if w not in self.numbers]
@@ -273,21 +285,22 @@ class Memo:
             self.clear()
             new = list(dict.fromkeys(words))
         if new:
-            coded = self.pieces.encode_pretokens(new)
+            flat, start, n = self.pieces.coded_pretokens(new)
             self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new))))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for c in coded for i in c), np.int32)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(c) for c in coded])])
+            self.start = np.concatenate([self.start, start + len(self.flat)])
+            self.n = np.concatenate([self.n, n])
+            self.flat = np.concatenate([self.flat, flat])
 
     def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids end to end, and where each word's end."""
         self.learn(words)
         at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        start, n = self.ends[at], self.ends[at + 1] - self.ends[at]
+        start, n = self.start[at], self.n[at]
         ends = np.cumsum(n)
         return self.flat[np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
-def encode(docs: DataFrame, model: str, most: int = 2 << 20, memo: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, model: str, most: int = 2 << 20, memo: int = 1_000_000) -> DataFrame:
     """(doc_id, n_tokens, ids array<int>, decoded) of each row of docs(doc_id, text); other columns are left out.
 
     A task takes its rows in batches of about `most` characters, indexes the pre-tokens that it hasn't met, and keeps
