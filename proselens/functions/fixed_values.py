@@ -46,6 +46,15 @@ STRUCTURES = {
 # Words that are overused above two in a thousand characters.
 OVERUSED = ["就", "都", "很", "非常", "一直", "总是", "已经", "立刻", "马上", "忽然", "突然", "渐渐", "慢慢", "轻轻", "默默", "淡淡", "微微", "略略", "然而", "但是", "不过", "而且", "因此", "所以", "于是", "然后", "接着", "吧", "呢", "啊", "哦", "嗯", "嘛", "啦", "似乎", "仿佛", "好像", "也许", "大概", "可能", "应该", "竟然", "居然"]
 
+# What is said of overused words.
+OVERUSED_SAID = [("高频词: ", "。建议替换或删减部分。"), "可尝试变换句式，避免重复使用相同副词开头。"]
+
+# Glad and sad characters, punctuation marks and stop words.
+GLAD = ["好", "美", "乐", "喜", "爱", "笑", "暖", "甜", "幸", "赞"]
+SAD = ["悲", "痛", "恨", "怒", "哭", "冷", "暗", "苦", "惨", "死"]
+MARKS = "，。！？、；：\"'"
+STOP = "的了吗呢吧啊嗯哦嘛啦着呢这和那但也却就都还很在一个从到对为被把让给向以"
+
 # Weasel words and hedges, and the patterns among them.
 WEASEL = ["众所周知", "不言而喻", "值得注意的是", "显而易见", "毫无疑问", "毋庸置疑", "不可否认", "必须承认", "综上所述", "总而言之"]
 HEDGE = ["某种程度上", "某种意义上", "相对而言", "在某种程度上", "在很大程度上", "大体上", "似乎", "仿佛", "好像", "也许", "可能", "大概"]

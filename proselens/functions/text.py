@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HAN = "[一-鿿]"
@@ -41,7 +41,18 @@ def paragraphs(c: Column, longer: int = 5) -> Column:
 
 def count_of(c: Column, word: str) -> Column:
     """Non-overlapping occurrences of a literal word."""
-    return ((F.length(c) - F.length(F.replace(c, F.lit(word), F.lit("")))) / len(word)).cast("int")
+    return ((F.octet_length(c) - F.octet_length(F.replace(c, F.lit(word), F.lit("")))) / len(word.encode())).cast("int")
+
+
+def occurrences(c: Column, word: Column) -> Column:
+    """Non-overlapping occurrences of a word that isn't empty."""
+    return ((F.octet_length(c) - F.octet_length(F.replace(c, word, F.lit("")))) / F.octet_length(word)).cast("int")
+
+
+def words(values: dict[str, int]) -> Column:
+    """Words with a number each as one constant array of structs (k: place, word, x), so that an expression over all of
+    them stays small. Words hold neither quotes nor backslashes."""
+    return F.expr("array(" + ", ".join(f"struct({k} as k, '{w}' as word, {x} as x)" for k, (w, x) in enumerate(values.items())) + ")")
 
 
 def total(a: Column) -> Column:
@@ -50,3 +61,9 @@ def total(a: Column) -> Column:
 
 def total_double(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+
+
+def settled(d: DataFrame) -> DataFrame:
+    """d with its columns computed once: a generator of one row stands above them, into which the optimiser does not
+    merge what follows. Without it a nested expression would be computed anew for each element that reads it."""
+    return d.select(F.inline(F.array(F.struct(*d.columns))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proselens.functions import fixed_values as V
@@ -20,28 +20,42 @@ def count_chapter(docs: DataFrame) -> DataFrame:
     )
 
 
-def mattr(docs: DataFrame, window: int = 50) -> DataFrame:
-    """ST-8: mean share of distinct runs over windows; 0 below a window."""
-    r = docs.select("doc_id", T.runs(F.col("text")).alias("r")).withColumn("n", F.size("r"))
+def _mattr(window: int) -> Column:
     step = F.greatest(F.lit(1), F.floor(F.greatest(F.col("n") - window, F.lit(1)) / 30)).cast("int")
     starts = F.sequence(F.lit(0), F.greatest(F.col("n") - window, F.lit(0)), step)
     sizes = F.transform(starts, lambda i: F.size(F.array_distinct(F.slice("r", i + 1, window))).cast("long"))
-    return r.select("doc_id", F.when(F.col("n") < window, F.lit(0.0)).otherwise(T.total(sizes) / (F.size(sizes) * window)).alias("mattr"))
+    return F.when(F.col("n") < window, F.lit(0.0)).otherwise(T.total(sizes) / (F.size(sizes) * window))
 
 
-def hd_d(docs: DataFrame) -> DataFrame:
-    """ST-9: mean diversity of contiguous samples of 35 to 50 runs, drawn by a hash of the document instead of chance."""
-    r = docs.select("doc_id", T.runs(F.col("text")).alias("r")).withColumn("n", F.size("r"))
+def mattr(docs: DataFrame, window: int = 50) -> DataFrame:
+    """ST-8: mean share of distinct runs over windows; 0 below a window."""
+    return docs.select("doc_id", T.runs(F.col("text")).alias("r")).withColumn("n", F.size("r")).select("doc_id", _mattr(window).alias("mattr"))
+
+
+def _hd_d(r: DataFrame) -> Column:
     k = F.least(F.lit(42), F.greatest(F.floor(F.col("n") / 10), F.lit(1))).cast("int")
+    draw = lambda j, c: F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(c), j.cast("string"))), 1, 6), 16, 10).cast("int")
 
     def share(j):
-        size = F.least(F.pmod(F.xxhash64("doc_id", j), F.lit(16)) + 35, F.col("n")).cast("int")
-        at = F.pmod(F.xxhash64("doc_id", j, F.lit(1)), F.greatest(F.col("n") - size + 1, F.lit(1))).cast("int")
+        size = F.least(F.pmod(draw(j, "a"), F.lit(16)) + 35, F.col("n"))
+        at = F.pmod(draw(j, "b"), F.greatest(F.col("n") - size + 1, F.lit(1)))
         s = F.slice("r", at + 1, size)
         return F.size(F.array_distinct(s)) / F.greatest(F.size(s), F.lit(1))
 
     shares = F.transform(F.sequence(F.lit(1), k), share)
-    return r.select("doc_id", F.when(F.col("n") == 0, 0.0).otherwise(T.total_double(shares) / F.size(shares) * 0.9).alias("hd_d"))
+    return F.when(F.col("n") == 0, 0.0).otherwise(T.total_double(shares) / F.size(shares) * 0.9)
+
+
+def hd_d(docs: DataFrame) -> DataFrame:
+    """ST-9: mean diversity of contiguous samples of 35 to 50 runs, drawn by a hash of the document instead of chance."""
+    r = docs.select("doc_id", T.runs(F.col("text")).alias("r")).withColumn("n", F.size("r"))
+    return r.select("doc_id", _hd_d(r).alias("hd_d"))
+
+
+def lexical_diversity(docs: DataFrame, window: int = 50) -> DataFrame:
+    """ST-11: (doc_id, mattr, hd_d) from one list of a text's runs."""
+    r = docs.select("doc_id", T.runs(F.col("text")).alias("r")).withColumn("n", F.size("r"))
+    return r.select("doc_id", _mattr(window).alias("mattr"), _hd_d(r).alias("hd_d"))
 
 
 def readability(docs: DataFrame, strokes: float = 10.0) -> DataFrame:
@@ -72,8 +86,17 @@ def count_book(chapters: DataFrame) -> DataFrame:
     return c.groupBy("book").agg(F.count("*").alias("chapters"), F.sum("n").alias("total_chars"), F.floor(F.sum("n") / F.count("*")).alias("avg_chars"), F.max_by("e", "chapter_no").alias("completed"))
 
 
+def book_chapters(chapters: DataFrame) -> DataFrame:
+    """ST-12: (book, chapter_no, chinese_chars), a book's list of chapters as rows, so that a long book is no single row."""
+    return chapters.select("book", "chapter_no", T.matches(F.col("text"), T.WIDE).alias("chinese_chars"))
+
+
+def readability_series(chapters: DataFrame) -> DataFrame:
+    """ST-13: (book, chapter_no, flesch_zh), a book's series as rows."""
+    return readability(chapters.withColumn("doc_id", F.struct("book", "chapter_no"))).select("doc_id.book", "doc_id.chapter_no", "flesch_zh")
+
+
 def readout_book(chapters: DataFrame) -> DataFrame:
-    """ST-13: trend of readability over a book's chapters."""
-    r = readability(chapters.withColumn("doc_id", F.struct("book", "chapter_no"))).select("doc_id.book", "doc_id.chapter_no", "flesch_zh")
-    g = r.groupBy("book").agg(F.count("*").alias("chapters"), F.regr_slope("flesch_zh", F.col("chapter_no").cast("double")).alias("s"))
-    return g.select("book", "chapters", F.when((F.col("chapters") >= 3) & (F.col("s") > 0.3), "easier").when((F.col("chapters") >= 3) & (F.col("s") < -0.3), "harder").otherwise("stable").alias("trend"))
+    """ST-13: mean and trend of readability over a book's chapters."""
+    g = readability_series(chapters).groupBy("book").agg(F.count("*").alias("chapters"), F.avg("flesch_zh").alias("mean"), F.regr_slope("flesch_zh", F.col("chapter_no").cast("double")).alias("s"))
+    return g.select("book", "chapters", "mean", F.when((F.col("chapters") >= 3) & (F.col("s") > 0.3), "easier").when((F.col("chapters") >= 3) & (F.col("s") < -0.3), "harder").otherwise("stable").alias("trend"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from proselens.functions import fixed_values as V
 from proselens.functions import text as T
+from proselens.operators import lexicon
 
 
 def diversity(docs: DataFrame) -> DataFrame:
@@ -31,9 +32,18 @@ def sentence_shape(docs: DataFrame) -> DataFrame:
     return s.select("doc_id", n.alias("sentence_count"), (a / F.greatest(n, F.lit(1))).alias("avg_sentence_len"), cv.alias("sentence_len_cv"), F.when(n < 2, 0.0).otherwise(T.total_double(near) / F.greatest(n - 1, F.lit(1))).alias("repetition_score"))
 
 
+def linear(template: str) -> str:
+    """A template of parts with lazy gaps between, as a pattern that reads each line once: from a line's start, the first
+    place of each part that fits is the only one tried. That is as good as any, since a part's words don't nest and an
+    earlier place leaves more room for the rest."""
+    parts = re.split(r"(\.\{\d+,\}\?)", template)
+    first = [f".*?{parts[0]}"] if parts[0] else []
+    return "(?dm)^" + "".join(f"(?>{x})" for x in [*first, *(parts[i] + parts[i + 1] for i in range(1, len(parts), 2))])
+
+
 def structures(docs: DataFrame) -> DataFrame:
     """SL-5: names of the sentence templates in a text."""
-    found = F.filter(F.array(*[F.when(F.col("text").rlike("(?d)" + p), F.lit(n)) for n, p in V.STRUCTURES.items()]), lambda x: x.isNotNull())
+    found = F.filter(F.array(*[F.when(F.col("text").rlike(linear(p)), F.lit(n)) for n, p in V.STRUCTURES.items()]), lambda x: x.isNotNull())
     return docs.select("doc_id", F.size(found).alias("structure_pattern_count"), F.array_join(found, ",").alias("structure_patterns"))
 
 
@@ -51,11 +61,28 @@ def top_words(docs: DataFrame, words: list[str], k: int = 20) -> DataFrame:
     return docs.select("doc_id", F.posexplode(kept).alias("rank", "x")).select("doc_id", F.col("rank").cast("int"), "x.word", (-F.col("x.n")).alias("n"))
 
 
-def overused(docs: DataFrame) -> DataFrame:
-    """SL-13: words above two in a thousand Han characters."""
+def _overused(docs: DataFrame) -> DataFrame:
+    """found: the words whose rounded rate exceeds two, the highest first, ties in order of the list."""
     t = F.col("text")
-    each = F.explode(F.array(*[F.struct(F.lit(w).alias("word"), T.count_of(t, w).alias("count")) for w in V.OVERUSED]))
-    return docs.select("doc_id", T.per(t).alias("h"), each.alias("x")).select("doc_id", "x.word", "x.count", (F.col("x.count") * 1000 / F.col("h")).alias("per_1k")).where("per_1k > 2.0")
+    each = F.transform(T.words(dict.fromkeys(V.OVERUSED, 0)), lambda w: F.struct(T.occurrences(t, w["word"]).alias("count"), w["k"].alias("k"), w["word"].alias("word")))
+    each = F.transform(each, lambda x: F.struct((x["count"] * 1000 / F.col("h")).alias("rate"), x["k"].alias("k"), x["word"].alias("word"), x["count"].alias("count")))
+    # A rate rounded to two places exceeds 2.0 if it exceeds the double 2.005, which lies below that decimal.
+    over = F.transform(F.filter(each, lambda x: x["rate"] > 2.005), lambda x: F.struct((-F.round(x["rate"], 2)).alias("o"), x["k"].alias("k"), x["word"].alias("word"), x["count"].alias("count")))
+    return T.settled(T.settled(docs.select("doc_id", "text", T.per(t).alias("h"))).select("doc_id", F.sort_array(over).alias("found")))
+
+
+def overused(docs: DataFrame, most: int = 20) -> DataFrame:
+    """SL-13: (doc_id, rank, word, count, per_1k): the first twenty words above two in a thousand Han characters, both
+    rounded to two places."""
+    x = F.posexplode(F.slice("found", 1, most)).alias("rank", "x")
+    return _overused(docs).select("doc_id", x).select("doc_id", "rank", "x.word", "x.count", (-F.col("x.o")).alias("per_1k"))
+
+
+def overused_report(docs: DataFrame) -> DataFrame:
+    """SL-13: (doc_id, overused_count, suggestions): two sentences if any word is overused."""
+    names = F.array_join(F.transform(F.slice("found", 1, 5), lambda x: x["word"]), "、")
+    said = F.array(F.concat(F.lit(V.OVERUSED_SAID[0][0]), names, F.lit(V.OVERUSED_SAID[0][1])), F.lit(V.OVERUSED_SAID[1]))
+    return _overused(docs).select("doc_id", F.size("found").alias("overused_count"), F.when(F.size("found") > 0, said).otherwise(F.array().cast("array<string>")).alias("suggestions"))
 
 
 def weasel(docs: DataFrame) -> DataFrame:
@@ -83,9 +110,15 @@ def phrases(docs: DataFrame, least: int = 3, longest: int = 5, repeats: int = 3,
     return k.select("doc_id", F.least(F.lit(top), "k").cast("int").alias("repeated_phrase_count"), (F.least(F.lit(20), "k") * 5).cast("int").alias("phrase_repetition_score"))
 
 
-def risk(docs: DataFrame, words: list[str]) -> DataFrame:
-    """SL-7, SL-9: the measures, the clamped sub-scores, their weighted total and its band."""
-    m = diversity(docs).join(sentence_shape(docs), "doc_id").join(structures(docs), "doc_id").join(lexicon_hits(docs, words), "doc_id").join(phrases(docs), "doc_id")
+def report(docs: DataFrame, words: list[str] | DataFrame) -> DataFrame:
+    """SL-7: the measures of a text side by side: diversity, sentence shape, templates, lexicon, phrases. Ids are unique."""
+    hit = lexicon_hits(docs, words) if isinstance(words, list) else lexicon.density(docs, words)
+    return diversity(docs).join(sentence_shape(docs), "doc_id").join(structures(docs), "doc_id").join(hit, "doc_id").join(phrases(docs), "doc_id")
+
+
+def risk(docs: DataFrame, words: list[str] | DataFrame) -> DataFrame:
+    """SL-9: the clamped sub-scores of a report, their weighted total and its band."""
+    m = report(docs, words)
     cut: Column = lambda c: F.greatest(F.lit(0), F.least(F.lit(100), c.cast("int")))
     s = m.select(
         "doc_id", cut((0.6 - F.col("ttr")) * 250.0).alias("ttr"), cut((0.7 - F.col("sentence_len_cv")) * 250.0).alias("sentence_variance"), F.least(F.lit(100), F.col("structure_pattern_count") * 20).alias("structure"),
@@ -96,13 +129,47 @@ def risk(docs: DataFrame, words: list[str]) -> DataFrame:
     return s.withColumn("verdict", F.when(total < 600, "low").when(total < 1200, "middle").otherwise("high")).withColumn("total_score", F.bround(total / 20.0, 0).cast("int"))
 
 
+def linguistic(docs: DataFrame) -> DataFrame:
+    """SL-10, and SL-11 without a language model: Han lengths of sentences, diversity of runs, sentiment, punctuation for
+    a hundred Han characters, share of stop words."""
+    t = F.col("text")
+    s = F.transform(T.sentences(t, 0), lambda x: T.han(x).cast("long"))
+    d = docs.select("doc_id", t, s.alias("s"), T.runs(t).alias("r"), T.per(t).alias("h"))
+    n, a, q = F.size("s"), T.total(F.col("s")), T.total(F.transform("s", lambda x: x * x))
+    good, bad = (sum((T.count_of(t, w) for w in ws), F.lit(0)) for ws in (V.GLAD, V.SAD))
+    return d.select(
+        "doc_id", (a / F.greatest(n, F.lit(1))).alias("avg_sentence_len"), F.when(a > 0, F.sqrt((q * n - a * a).cast("double")) / a).otherwise(0.0).alias("sentence_len_cv"),
+        (F.size(F.array_distinct("r")) / F.greatest(F.size("r"), F.lit(1))).alias("ttr"), ((good - bad) / F.greatest(good + bad, F.lit(1))).alias("sentiment"),
+        (T.matches(t, f"[{V.MARKS}]") * 100 / F.col("h")).alias("punct_density"), (T.matches(t, f"[{V.STOP}]") / F.col("h")).alias("stopword_ratio"),
+    )
+
+
 def templates(chapters: DataFrame) -> DataFrame:
-    """SL-18: per book repeated openings of eight Han characters and the spread of chapter lengths."""
-    c = chapters.select("book", F.left(F.array_join(T.runs(F.col("text")), ""), F.lit(8)).alias("o"), F.length("text").cast("long").alias("n"))
-    o = c.groupBy("book", "o").count().groupBy("book").agg(F.count_if(F.col("count") >= 2).alias("repeated_openings"))
-    n = c.groupBy("book").agg(F.count("*").alias("k"), F.sum("n").alias("a"), F.sum(F.col("n") * F.col("n")).alias("q"))
-    cv = F.when(F.col("a") == 0, 0.0).otherwise(F.sqrt((F.col("q") * F.col("k") - F.col("a") * F.col("a")).cast("double")) / F.col("a"))
-    return o.join(n, "book").select("book", "repeated_openings", cv.alias("length_cv"))
+    """SL-18: (book, repeated_openings, length_cv, dialogue_cv, template_score) of each book: openings of eight Han
+    characters that recur, the spread of chapter lengths and of lines of speech for a hundred Han characters (rounded to
+    three places), and a score. A book of one chapter has zeros."""
+    t = F.col("text")
+    spoken = T.matches(t, "[「\"][^」\"]+[」\"]") / F.greatest(T.per(t) / 100, F.lit(1.0))
+    c = chapters.select("book", F.left(F.array_join(T.runs(t), ""), F.lit(8)).alias("o"), F.length("text").cast("long").alias("n"), spoken.alias("d"))
+    o = c.groupBy("book", "o").count().groupBy("book").agg(F.count_if((F.col("count") >= 2) & (F.length("o") == 8)).alias("repeated_openings"))
+    some = F.col("n") > 0
+    g = c.groupBy("book").agg(
+        F.count("*").alias("chapters"), F.count_if(some).alias("k"), F.sum("n").alias("a"), F.sum(F.col("n") * F.col("n")).alias("q"),
+        F.avg("d").alias("dm"), F.stddev_pop("d").alias("ds"),
+    )
+    length_cv = F.when((F.col("k") > 1) & (F.col("a") > 0), F.round(F.sqrt((F.col("q") * F.col("k") - F.col("a") * F.col("a")).cast("double")) / F.col("a"), 3)).otherwise(0.0)
+    dialogue_cv = F.when((F.col("chapters") > 1) & (F.col("dm") > 0), F.round(F.col("ds") / F.col("dm"), 3)).otherwise(0.0)
+    j = o.join(g, "book").select("book", "chapters", F.when(F.col("chapters") > 1, F.col("repeated_openings")).otherwise(0).alias("repeated_openings"), length_cv.alias("length_cv"), dialogue_cv.alias("dialogue_cv"))
+    low = lambda x, by: F.greatest(F.lit(0), ((0.3 - F.least(x, F.lit(0.3))) * by).cast("int"))
+    score = F.least(F.lit(100), F.col("repeated_openings") * 15 + low(F.col("length_cv"), 100.0) + low(F.col("dialogue_cv"), 80.0))
+    return j.select("book", "repeated_openings", "length_cv", "dialogue_cv", F.when(F.col("chapters") > 1, score).otherwise(0).cast("int").alias("template_score"))
+
+
+def openings(chapters: DataFrame, most: int = 5) -> DataFrame:
+    """SL-18: (book, rank, opening, n): a book's most frequent openings that recur; ties by opening."""
+    o = chapters.select("book", F.left(F.array_join(T.runs(F.col("text")), ""), F.lit(8)).alias("o")).where(F.length("o") == 8).groupBy("book", "o").count().where("count >= 2")
+    top = o.groupBy("book").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), "o"))), 1, most).alias("x"))
+    return top.select("book", F.posexplode("x").alias("rank", "x")).select("book", "rank", F.col("x.o").alias("opening"), (-F.col("x.n")).alias("n"))
 
 
 def lint(docs: DataFrame, rules: list[tuple[str, str, str, float | None]], severity: str = "warn") -> DataFrame:

@@ -6,19 +6,14 @@ from pyspark.sql import functions as F
 
 from proselens.functions import fixed_values as V
 from proselens.operators import consistency, emotion, outline, reviews, stats, store, style
-from proselens.plans import stores
+from proselens.plans import measures, stores
+from proselens.plans.base import BL, CHAP, COUNT, CUT, DENSE, DIV, HAN, LEXICON, N, PARA, PHR, RULES, SENT, SHAPE, STRIP, STRUCT, TENTHS, WIDE, H  # noqa: F401
 from proselens.sources.tables import CHINESE, LATIN, chapters, documents, table
 
-HAN = "[一-鿿]"
-WIDE = "[一-鿿㐀-䶿豈-﫿]"
-LEXICON = ["危险", "危机", "不安", "平静", "宁静", "沉思", "似乎", "平和", "危险"]
-RULES = [("redundancy", "不安", "warn", None), ("cliche", "危机", "ban", None), ("weasel", "似乎", "info", None), ("adverb_abuse", "平静", "warn", 8.0), ("dialogue_tags", "沉思", "ban", 2.0)]
-
 #: Operators that fit one call on documents.
 ON_DOCUMENTS = {
     "st01_count_chapter": stats.count_chapter,
     "st08_mattr": lambda d: stats.mattr(d, 50),
-    "st09_hd_d": stats.hd_d,
     "st10_readability": stats.readability,
     "st14_pacing": stats.pacing,
     "sl02_diversity": style.diversity,
@@ -27,14 +22,10 @@ ON_DOCUMENTS = {
     "sl08_blacklist_hits": lambda d: style.lexicon_hits(d, LEXICON),
     "sl08_top_words": lambda d: style.top_words(d, LEXICON, 3),
     "sl09_score_ai_risk": lambda d: style.risk(d, LEXICON),
-    "sl13_overused": style.overused,
     "sl14_weasel": style.weasel,
     "sl15_phrases": style.phrases,
     "ln01_lint": lambda d: style.lint(d, RULES),
-    "em01_windows": emotion.curve,
-    "em05_arcs": emotion.arcs,
     "bb08_hints": consistency.hints,
-    "st22_rhythm": emotion.rhythm,
     "sl12_repetition": style.repetition,
     "ln06_quick_scan": style.quick_scan,
     "cn01_names": lambda d: consistency.names(d, ["王宁", "安平", "红沉"]),
@@ -102,8 +93,6 @@ def planned(spark, d):
 
 QUERIES = {k: (lambda spark, d, f=f: f(documents(spark, d))) for k, f in ON_DOCUMENTS.items()} | {
     "st12_count_book": lambda s, d: stats.count_book(chapters(s, d)),
-    "st13_readout_book": lambda s, d: stats.readout_book(chapters(s, d)),
-    "sl18_templates": lambda s, d: style.templates(chapters(s, d)),
     "ln08_lint_book": lint_book,
     "cn05_coverage": coverage,
     "bb03_duplicates": lambda s, d: store.duplicates(people(s, d)),
@@ -123,27 +112,11 @@ QUERIES = {k: (lambda spark, d, f=f: f(documents(spark, d))) for k, f in ON_DOCU
     "ol04_summarize": lambda s, d: outline.summarize(planned(s, d), outline.checkpoints(outlines(s, d))),
 }
 
-H = f"h AS (SELECT doc_id, source AS book, translate(lower(replace(text, chr(10), chr(10) || chr(10))), '{LATIN}', '{CHINESE}') AS t FROM documents)"
-STRIP = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
-SENT = lambda n: rf"list_filter(list_transform(regexp_split_to_array({STRIP('t')}, '[。！？…]+'), lambda x: {STRIP('x')}), lambda x: length(x) > {n})"
-PARA = rf"list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n'), lambda x: {STRIP('x')}), lambda x: length(x) > 5)"
-N = lambda p, c="t": f"len(regexp_extract_all({c}, '{p}'))"
-COUNT = lambda w, c="t": f"((length({c}) - length(replace({c}, '{w}', ''))) // {len(w)})"
-HIT = " + ".join(COUNT(w) for w in dict.fromkeys(LEXICON))
-CHAP = "c AS (SELECT h.*, row_number() OVER (PARTITION BY book ORDER BY doc_id) AS chapter_no FROM h)"
-TENTHS = " + ".join(f"{round(x * 10)} * {COUNT(w, 'w')}" for w, (_, x) in V.EMOTIONS.items())
-DIV = f"cs AS (SELECT doc_id, unnest(regexp_extract_all(t, '{HAN}')) AS c FROM h), cg AS (SELECT doc_id, c, count(*) AS n FROM cs GROUP BY ALL), dv AS (SELECT h.doc_id, coalesce(sum(n), 0)::BIGINT AS words, count(c)::DOUBLE / greatest(coalesce(sum(n), 0), 1) AS ttr, (count(*) FILTER (n = 1))::DOUBLE / greatest(coalesce(sum(n), 0), 1) AS hapax_ratio FROM h LEFT JOIN cg USING (doc_id) GROUP BY h.doc_id)"
-SHAPE = f"ss AS (SELECT doc_id, list_transform({SENT(1)}, lambda x: length(x)) AS s FROM h), sq AS (SELECT doc_id, len(s) AS n, coalesce(list_sum(s), 0) AS a, coalesce(list_sum(list_transform(s, lambda x: x * x)), 0) AS q, s FROM ss), sh AS (SELECT doc_id, n::INT AS sentence_count, a::DOUBLE / greatest(n, 1) AS avg_sentence_len, CASE WHEN n < 2 THEN 0 ELSE sqrt((q * n - a * a)::DOUBLE) / a END AS sentence_len_cv, CASE WHEN n < 2 THEN 0 ELSE list_reduce(list_prepend(0::DOUBLE, list_transform(range(1, n), lambda i: least(s[i], s[i + 1])::DOUBLE / greatest(s[i], s[i + 1]))), lambda x, y: x + y) / greatest(n - 1, 1) END AS repetition_score FROM sq)"
-STRUCT = "st AS (SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{n}' END" for n, p in V.STRUCTURES.items()) + "], lambda x: x IS NOT NULL) AS f FROM h)"
-PHR = f"j AS (SELECT doc_id, array_to_string(regexp_extract_all(t, '{HAN}+'), '') AS j FROM h), gr AS (SELECT doc_id, j[i:i + l - 1] AS g FROM (SELECT doc_id, j, l, unnest(generate_series(1, length(j) - l + 1)) AS i FROM j, (VALUES (3), (4), (5)) v(l) WHERE length(j) >= l)), gk AS (SELECT doc_id, count(*) AS k FROM (SELECT doc_id, g FROM gr GROUP BY ALL HAVING count(*) >= 3) GROUP BY doc_id), ph AS (SELECT h.doc_id, least(50, coalesce(k, 0))::INT AS repeated_phrase_count, (least(20, coalesce(k, 0)) * 5)::INT AS phrase_repetition_score FROM h LEFT JOIN gk USING (doc_id))"
-BL = f"bl AS (SELECT doc_id, {HIT} AS hits, ({HIT}) * 100 / greatest({N(HAN)}, 1)::DOUBLE AS dens FROM h)"
-CUT = lambda x: f"greatest(0, least(100, trunc({x})::INT))"
 LINT = " UNION ALL ".join(
     [f"SELECT doc_id, book, '{c}' AS \"check\", '{p}' AS pattern, '{s}' AS severity, i::INT AS line FROM l WHERE contains(x, '{p}')" for c, p, s, m in RULES if m is None and s != "info"]
     + [f"SELECT doc_id, book, '{c}', '{p}', '{s}', -1 FROM h WHERE {COUNT(p)} * 1000 / greatest({N(HAN)}, 1)::DOUBLE > {m}" for c, p, s, m in RULES if m is not None]
 )
 LINTS = f"l AS (SELECT doc_id, book, x, i FROM (SELECT doc_id, book, string_split(t, chr(10)) AS ls FROM h), unnest(ls) WITH ORDINALITY AS u(x, i)), li AS ({LINT})"
-DENSE = f"greatest({N(HAN)}, 1)::DOUBLE"
 SPOKEN = "array_to_string(regexp_extract_all(t, '「([^」]*)」', 1), '') || array_to_string(regexp_extract_all(t, '“([^”]*)”', 1), '')"
 ONCE = lambda ws: " + ".join(f"contains(t, '{w}')::INT" for w in ws)
 PAT = lambda k: " + ".join(N(p) for c, p in V.WEASEL_PATTERNS if c == k)
@@ -181,13 +154,9 @@ SQL = {
     "sl05_structures": f"WITH {H}, {STRUCT} SELECT doc_id, len(f) AS structure_pattern_count, array_to_string(f, ',') AS structure_patterns FROM st",
     "sl08_blacklist_hits": f"WITH {H}, {BL} SELECT doc_id, hits AS blacklist_total_hits, dens AS blacklist_density FROM bl",
     "sl08_top_words": f"WITH {H}, x AS ({' UNION ALL '.join(f'SELECT doc_id, {chr(39)}{w}{chr(39)} AS word, {COUNT(w)} AS n FROM h' for w in dict.fromkeys(LEXICON))}), y AS (SELECT doc_id, word, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) - 1 AS rank FROM x WHERE n > 0) SELECT doc_id, rank::INT AS rank, word, n::INT AS n FROM y WHERE rank < 3",
-    "sl13_overused": f"WITH {H}, x AS ({' UNION ALL '.join(f'SELECT doc_id, {chr(39)}{w}{chr(39)} AS word, {COUNT(w)} AS count, {DENSE} AS h FROM h' for w in V.OVERUSED)}) SELECT doc_id, word, count, count * 1000 / h AS per_1k FROM x WHERE count * 1000 / h > 2.0",
     "sl14_weasel": f"WITH {H}, x AS (SELECT doc_id, {ONCE(V.WEASEL)} + {PAT('weasel')} AS weasel, {ONCE(V.HEDGE)} + {PAT('hedge')} AS hedge, {PAT('cliche_structure')} AS cliche_structure FROM h) SELECT *, weasel + hedge + cliche_structure AS total_hits FROM x",
     "ln01_lint": f"WITH {H}, {LINTS} SELECT doc_id, \"check\", pattern, severity, line FROM li",
-    "em01_windows": f"WITH {H}, x AS (SELECT doc_id, t, unnest(generate_series(0, length(t) - 500, 250)) AS a FROM h WHERE length(t) >= 500), y AS (SELECT doc_id, (a // 250)::INT AS i, t[a + 1:a + 500] AS w FROM x) SELECT doc_id, i, ({TENTHS}) * 0.7::DOUBLE / 50::DOUBLE + 0.15::DOUBLE AS intensity FROM y",
     "st12_count_book": f"WITH {H}, {CHAP}, x AS (SELECT book, chapter_no, {N(WIDE)} AS n, regexp_matches(right(t, 500), '完|终|…|END') AS e FROM c) SELECT book, count(*) AS chapters, sum(n)::BIGINT AS total_chars, (sum(n) // count(*))::BIGINT AS avg_chars, arg_max(e, chapter_no) AS completed FROM x GROUP BY book",
-    "st13_readout_book": f"WITH {H}, {CHAP}, x AS (SELECT book, chapter_no, 206.835::DOUBLE - 1.015::DOUBLE * ({N(WIDE)} / greatest(len({SENT(2)}), 1)::DOUBLE) - 8.46::DOUBLE AS f FROM c), y AS (SELECT book, count(*) AS chapters, regr_slope(f, chapter_no::DOUBLE) AS s FROM x GROUP BY book) SELECT book, chapters, CASE WHEN chapters >= 3 AND s > 0.3 THEN 'easier' WHEN chapters >= 3 AND s < -0.3 THEN 'harder' ELSE 'stable' END AS trend FROM y",
-    "sl18_templates": f"WITH {H}, x AS (SELECT book, left(array_to_string(regexp_extract_all(t, '{HAN}+'), ''), 8) AS o, length(t) AS n FROM h), o AS (SELECT book, count(*) FILTER (c >= 2) AS repeated_openings FROM (SELECT book, o, count(*) AS c FROM x GROUP BY ALL) GROUP BY book), y AS (SELECT book, count(*) AS k, sum(n) AS a, sum(n * n) AS q FROM x GROUP BY book) SELECT book, repeated_openings, sqrt((q * k - a * a)::DOUBLE) / a AS length_cv FROM o JOIN y USING (book)",
     "ln08_lint_book": f"WITH {H}, {LINTS} SELECT book, count(*) AS total, count(*) FILTER (severity = 'ban') AS ban, count(*) FILTER (severity = 'warn') AS warn, count(DISTINCT \"check\") AS unique_checks FROM li GROUP BY book",
     "cn05_coverage": f"WITH {H}, p AS (SELECT item_id, regexp_extract_all(translate(lower(text), '{LATIN}', '{CHINESE}'), '{HAN}{{2,4}}') AS k FROM benchmark) SELECT doc_id, count(*) AS points, count(*) FILTER (len(list_filter(k, lambda x: contains(t, x))) * 2 >= len(k)) AS covered FROM h, p WHERE len(k) > 0 GROUP BY doc_id",
     "bb03_duplicates": "WITH p AS (SELECT c_custkey AS id, c_mktsegment || (c_custkey % 50)::VARCHAR AS name FROM customer), x AS (SELECT name, lag(id) OVER (PARTITION BY name ORDER BY id) AS prior, id FROM p) SELECT * FROM x WHERE prior IS NOT NULL",
@@ -195,7 +164,6 @@ SQL = {
     "bb05_graph": f"WITH {ORDERS} SELECT * FROM g",
     "bb05_degrees": f"WITH {ORDERS} SELECT node, sum(weight)::BIGINT AS degree FROM (SELECT a AS node, weight FROM g UNION ALL SELECT b, weight FROM g) GROUP BY node",
     "vl06_verdicts": f"WITH {H}, x AS (SELECT {N('[' + V.ACTION + ']')} * 1000 / {DENSE} < 15 AS tool_bad, quality = 0 AS review_bad FROM h JOIN labels USING (doc_id)) SELECT 'pacing' AS dimension, CASE WHEN tool_bad = review_bad THEN 'matched' WHEN review_bad THEN 'false_negative' ELSE 'false_positive' END AS verdict, count(*) AS n FROM x GROUP BY ALL",
-    "st22_rhythm": f"WITH {H}, x AS (SELECT doc_id, t, greatest(length(t) // 40, 1) AS z, unnest(range(40)) AS i FROM h WHERE length(t) >= 100), y AS (SELECT doc_id, i::INT AS i, substr(t, i * z + 1, CASE WHEN i < 39 THEN z ELSE length(t) END) AS w FROM x) SELECT doc_id, i, CASE WHEN length(w) > 0 THEN least(({TENTHS_R}) * 10 / length(w)::DOUBLE, 3::DOUBLE) ELSE 0 END AS intensity FROM y",
     "ln06_quick_scan": f"WITH {H}, x AS (SELECT doc_id, {N(HAN + '{1,3}地')} / {PER} AS a, {STARTS} AS s, {COUNT('！')} / {PER} AS e, {COUNT('了')} / {PER} AS l FROM h), y AS (SELECT *, len(list_filter(range(1, len(s)), lambda i: s[i] = s[i + 1]))::DOUBLE AS r FROM x) SELECT doc_id, 'adverb_abuse' AS type, 'warn' AS severity, a AS amount FROM y WHERE a > 2 UNION ALL SELECT doc_id, 'repetition', 'warn', r FROM y WHERE r > 1 UNION ALL SELECT doc_id, 'exclamation', 'info', e FROM y WHERE e > 5 UNION ALL SELECT doc_id, 'filler', 'info', l FROM y WHERE l > 8",
     "cn01_names": f"WITH {H}, x AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(t, '{HAN}([，。！？、：；\"」』）)\\s])', '\\1', 'g'), '[{V.SURNAMES}]{HAN}{{1,2}}')) AS name FROM h), y AS (SELECT doc_id, name, count(*) AS n, name IN ('王宁', '安平', '红沉') AS known FROM x GROUP BY doc_id, name) SELECT * FROM y WHERE known OR n >= 2",
     "cn01_surnames": f"WITH {H}, x AS (SELECT doc_id, left(unnest(regexp_extract_all(t, '(?s)[{V.SURNAMES}](?:[^一-鿿]|$)')), 1) AS surname FROM h) SELECT doc_id, surname, count(*) AS n FROM x GROUP BY ALL HAVING count(*) >= 3",
@@ -208,6 +176,6 @@ SQL = {
     "ht09_clean_titles": "SELECT p_partkey AS id, trim(p_name) AS title FROM part",
 }
 
-for part in (stores,):
+for part in (stores, measures):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
