@@ -112,3 +112,12 @@ RULE_NEGATIONS = ["不", "并非", "不是", "没有", "禁止", "无法", "不
 NAVIGATION = ["请记住本书首发域名.*?，最快更新", "手机版阅读地址.*?", "最快更新.*?最新章节！", "笔趣阁.*?最快更新.*?无广告！", r"m\\.bqglll\\.cc", r"www\\.bqglll\\.cc", "一秒记住.*?：.*?。", "天才一秒记住.*?。"]
 CONTENT_IDS = ["chaptercontent", "content", "txt", "article", "nr1"]
 TITLE_NOISE = ["完结时间", "什么软件能看", "全文免费阅读", "免费阅读", "全文阅读", "无弹窗", "笔趣阁", "txt下载", "精校版", "最新", "全文", "完整版", "全集", "笔趣阁"]
+
+# Passages that hint at something to come.
+HINTS = ["(?:他|她|它|谁|没人).{0,5}(?:不知道|没想到|没料到|没察觉).{3,}", "(?:此刻|这时|当时).{0,5}(?:还不|尚不|未曾).{2,}(?:知道|明白|察觉|发现)", "(?:后来|多年后|很久以后).{0,5}(?:才|终于|回想起)", "(?:似乎|仿佛|隐隐|莫名|隐隐约约).{2,}(?:觉得|感到|感觉|察觉到)", "这.{0,3}(?:似乎|好像|仿佛|可能|大概).{3,}", "如果.{0,3}(?:知道|明白|看到).{3,}"]
+
+# The module that measures a dimension of reviews, and when its metric counts as bad.
+DIMENSION_MODULE = {"pacing": "pacing", "character_consistency": "stats", "ai_score": "ai_score", "readability": "stats", "emotion_arc": "emotion", "redundancy": "style_lint", "timeline": "stats", "outline_deviation": "stats", "template_score": "cross_chapter"}
+THRESHOLDS = {"pacing": ("action_density", "lt", 15), "readability": ("readability.flesch_zh", "lt", 30), "emotion_arc": ("intensity_variance", "lt", 0.08), "redundancy": ("summary.total", "gte", 1), "ai_score": ("total_score", "gt", 20), "template_score": ("template_score", "gt", 30)}
+DIMENSION_MAP = {"节奏": "pacing", "拖": "pacing", "水文": "pacing", "角色崩": "character_consistency", "人设": "character_consistency", "AI": "ai_score", "套路": "template_score", "模板": "template_score", "读不下去": "readability", "太绕": "readability", "情绪": "emotion_arc", "平淡": "emotion_arc", "啰嗦": "redundancy", "废话": "redundancy", "时间混乱": "timeline", "bug": "timeline", "跑题": "outline_deviation", "大纲": "outline_deviation"}
+CONFIDENCE = {"matched": 0.9, "false_negative": 0.85, "false_positive": 0.7}

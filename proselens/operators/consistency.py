@@ -89,15 +89,66 @@ def conflicts(texts: DataFrame, rules: DataFrame) -> DataFrame:
     return a.join(rules.select("rule_id", chunk("content")), "chunk").groupBy("doc_id", "rule_id").agg(F.count("*").alias("shared")).where("shared > 3")
 
 
-def coverage(docs: DataFrame, points: DataFrame) -> DataFrame:
-    """CN-5, OL-3: points(item_id, text) covered by each document: half of a point's Han keywords occur in it."""
-    p = points.select("item_id", F.regexp_extract_all("text", F.lit(f"{T.HAN}{{2,4}}"), F.lit(0)).alias("k")).where(F.size("k") > 0)
-    j = docs.select("doc_id", "text").crossJoin(F.broadcast(p))
-    return j.select("doc_id", (F.size(F.filter("k", lambda x: F.col("text").contains(x))) * 2 >= F.size("k")).alias("c")).groupBy("doc_id").agg(F.count("*").alias("points"), F.count_if("c").alias("covered"))
+def _points(outline: Column) -> Column:
+    """The lines of an outline that say a point: bullets, numbered lines and headers, without their marks."""
+    lines = F.transform(F.split(F.coalesce(outline, F.lit("")), "\n"), T.strip)
+    bullet, number = r"(?U)^[-*]\s", r"(?U)^\d+[.、）)]"
+    point = lambda x: F.when(x.rlike(bullet), F.regexp_replace(x, r"(?U)^[-*]\s+", "")).when(x.rlike(number), F.regexp_replace(x, r"(?U)^\d+[.、）)]\s*", "")).when(x.startswith("##"), F.regexp_replace(x, r"(?U)^#+\s*", ""))
+    return F.filter(F.transform(lines, point), lambda x: x.isNotNull())
+
+
+def coverage(pairs: DataFrame) -> DataFrame:
+    """CN-5: pairs(doc_id, text, outline) -> (doc_id, total_points, covered_count, missed_count, coverage_score,
+    missing_points, error): a point is covered if half of its Han keywords occur in the text.
+
+    Points without keywords are neither covered nor missed but count in the total. An empty outline, or one without
+    points, has an error and a score of zero. One projection; the pair is each row's own.
+    """
+    keys = lambda p: F.regexp_extract_all(p, F.lit(f"{T.HAN}{{2,4}}"), F.lit(0))
+    d = T.settled(pairs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("outline", F.lit("")).alias("outline"), _points(F.col("outline")).alias("p")))
+    scored = F.transform("p", lambda p: F.struct(F.left(p, F.lit(80)).alias("point"), F.size(F.filter(keys(p), lambda k: F.col("text").contains(k))).alias("hits"), F.size(keys(p)).alias("n")))
+    d = T.settled(d.select("doc_id", "outline", F.filter(scored, lambda x: x["n"] > 0).alias("s"), F.size("p").alias("total")))
+    missed = F.filter("s", lambda x: x["hits"] * 2 < x["n"])
+    covered = F.size("s") - F.size(missed)
+    error = F.when(T.strip(F.col("outline")) == "", "Empty outline").when(F.col("total") == 0, "No outline points found")
+    return d.select("doc_id", F.col("total").alias("total_points"), covered.alias("covered_count"), F.size(missed).alias("missed_count"), (covered / F.greatest("total", F.lit(1))).alias("coverage_score"), missed.alias("missing_points"), error.alias("error"))
+
+
+def _numbers(path: Column) -> Column:
+    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
+    return F.regexp_extract_all(stem, F.lit(r"第(\d+)章"), F.lit(1))
+
+
+def matched_outlines(chapters: DataFrame, outlines: DataFrame) -> DataFrame:
+    """CN-6: chapters(path, text) beside the outlines(path, text) of their number: (doc_id: the chapter's path,
+    outline_path, text, outline). The number is the first 第N章 of the file's name; of several outlines that say it the
+    first in order of path counts. An equi-join on the number, which a chapter without one or without outline leaves."""
+    o = outlines.select(F.explode(F.array_distinct(_numbers(F.col("path")))).alias("n"), "path", "text").groupBy("n").agg(F.min(F.struct("path", "text")).alias("o"))
+    c = chapters.select(F.get(_numbers(F.col("path")), F.lit(0)).alias("n"), F.col("path").alias("doc_id"), "text").where("n is not null")
+    return c.join(o, "n").select("doc_id", F.col("o.path").alias("outline_path"), "text", F.col("o.text").alias("outline"))
+
+
+def check_coverage(chapters: DataFrame, outlines: DataFrame) -> DataFrame:
+    """CN-6: the coverage of every chapter by the outline of its number."""
+    return coverage(matched_outlines(chapters, outlines))
+
+
+def check(chapters: DataFrame, files: DataFrame, outlines: DataFrame, known: list[str]) -> dict[str, DataFrame]:
+    """CN-10: names, timeline and coverage of a project: three plans, each run when it is read."""
+    return {"names": names(chapters, known), "timeline": time_between_chapters(chapters), "coverage": check_coverage(files, outlines)}
+
+
+def homophones(pairs: DataFrame, readings: DataFrame | None = None) -> DataFrame:
+    """CN-4: (a, b, same) of pairs(a, b): whether two different names read alike under readings(name, reading); without
+    a reading no two do."""
+    if readings is None:
+        return pairs.withColumn("same", F.lit(False))
+    r = readings.select("name", "reading").distinct().groupBy("name").agg(F.min("reading").alias("reading"))
+    j = pairs.join(r.select(F.col("name").alias("a"), F.col("reading").alias("ra")), "a", "left").join(r.select(F.col("name").alias("b"), F.col("reading").alias("rb")), "b", "left")
+    return j.select("a", "b", F.coalesce((F.col("a") != F.col("b")) & (F.col("ra") == F.col("rb")), F.lit(False)).alias("same"))
 
 
 def hints(docs: DataFrame) -> DataFrame:
     """BB-8: up to ten different passages over five characters that hint at something, in order of pattern and place."""
-    patterns = ["(?:他|她|它|谁|没人).{0,5}(?:不知道|没想到|没料到|没察觉).{3,}", "(?:此刻|这时|当时).{0,5}(?:还不|尚不|未曾).{2,}(?:知道|明白|察觉|发现)", "(?:后来|多年后|很久以后).{0,5}(?:才|终于|回想起)", "(?:似乎|仿佛|隐隐|莫名|隐隐约约).{2,}(?:觉得|感到|感觉|察觉到)", "这.{0,3}(?:似乎|好像|仿佛|可能|大概).{3,}", "如果.{0,3}(?:知道|明白|看到).{3,}"]
-    found = F.filter(F.concat(*[F.regexp_extract_all("text", F.lit("(?d)" + p), F.lit(0)) for p in patterns]), lambda x: F.length(x) > 5)
+    found = F.filter(F.concat(*[F.regexp_extract_all("text", F.lit("(?d)" + p), F.lit(0)) for p in V.HINTS]), lambda x: F.length(x) > 5)
     return docs.select("doc_id", F.explode(F.slice(F.array_distinct(F.transform(found, T.strip)), 1, 10)).alias("hint"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,20 +46,6 @@ def structures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size(found).alias("structure_pattern_count"), F.array_join(found, ",").alias("structure_patterns"))
 
 
-def lexicon_hits(docs: DataFrame, words: list[str]) -> DataFrame:
-    """SL-8, SL-16: hits of a lexicon's distinct words in all, and for each hundred Han characters."""
-    t = F.col("text")
-    hits = reduce(lambda a, b: a + b, [T.count_of(t, w) for w in dict.fromkeys(words)], F.lit(0))
-    return docs.select("doc_id", hits.alias("blacklist_total_hits"), (hits * 100 / T.per(t)).alias("blacklist_density"))
-
-
-def top_words(docs: DataFrame, words: list[str], k: int = 20) -> DataFrame:
-    """SL-8: a document's k most frequent lexicon words, ties by word."""
-    hits = F.array(*[F.struct((-T.count_of(F.col("text"), w)).alias("n"), F.lit(w).alias("word")) for w in dict.fromkeys(words)])
-    kept = F.slice(F.sort_array(F.filter(hits, lambda x: x["n"] < 0)), 1, k)
-    return docs.select("doc_id", F.posexplode(kept).alias("rank", "x")).select("doc_id", F.col("rank").cast("int"), "x.word", (-F.col("x.n")).alias("n"))
-
-
 def _overused(docs: DataFrame) -> DataFrame:
     """found: the words whose rounded rate exceeds two, the highest first, ties in order of the list."""
     t = F.col("text")
@@ -110,13 +95,12 @@ def phrases(docs: DataFrame, least: int = 3, longest: int = 5, repeats: int = 3,
     return k.select("doc_id", F.least(F.lit(top), "k").cast("int").alias("repeated_phrase_count"), (F.least(F.lit(20), "k") * 5).cast("int").alias("phrase_repetition_score"))
 
 
-def report(docs: DataFrame, words: list[str] | DataFrame) -> DataFrame:
+def report(docs: DataFrame, words: DataFrame) -> DataFrame:
     """SL-7: the measures of a text side by side: diversity, sentence shape, templates, lexicon, phrases. Ids are unique."""
-    hit = lexicon_hits(docs, words) if isinstance(words, list) else lexicon.density(docs, words)
-    return diversity(docs).join(sentence_shape(docs), "doc_id").join(structures(docs), "doc_id").join(hit, "doc_id").join(phrases(docs), "doc_id")
+    return diversity(docs).join(sentence_shape(docs), "doc_id").join(structures(docs), "doc_id").join(lexicon.density(docs, words), "doc_id").join(phrases(docs), "doc_id")
 
 
-def risk(docs: DataFrame, words: list[str] | DataFrame) -> DataFrame:
+def risk(docs: DataFrame, words: DataFrame) -> DataFrame:
     """SL-9: the clamped sub-scores of a report, their weighted total and its band."""
     m = report(docs, words)
     cut: Column = lambda c: F.greatest(F.lit(0), F.least(F.lit(100), c.cast("int")))
@@ -172,26 +156,6 @@ def openings(chapters: DataFrame, most: int = 5) -> DataFrame:
     return top.select("book", F.posexplode("x").alias("rank", "x")).select("book", "rank", F.col("x.o").alias("opening"), (-F.col("x.n")).alias("n"))
 
 
-def lint(docs: DataFrame, rules: list[tuple[str, str, str, float | None]], severity: str = "warn") -> DataFrame:
-    """LN-1..5, 8: issues of docs(doc_id, text) under rules (check, pattern, severity, most for 1,000 characters or None).
-
-    A rule without a density gives an issue a line that holds it; one with a density gives one issue of line -1.
-    """
-    rank = {"ban": 0, "warn": 1, "info": 2}
-    kept = [r for r in rules if rank[r[2]] <= rank[severity]]
-    t = F.col("text")
-    row = lambda c, p, s, line: F.struct(F.lit(c).alias("check"), F.lit(p).alias("pattern"), F.lit(s).alias("severity"), line.cast("int").alias("line"))
-    lines = F.split(t, "\n")
-
-    def in_lines(c: str, p: str, s: str) -> Column:
-        found = F.filter(F.transform(lines, lambda x, i: F.when(x.contains(p), i + 1)), lambda x: x.isNotNull())
-        return F.transform(found, lambda i: row(c, p, s, i))
-
-    by_line = [in_lines(c, p, s) for c, p, s, m in kept if m is None]
-    dense = [F.when(T.count_of(t, p) * 1000 / T.per(t) > m, F.array(row(c, p, s, F.lit(-1)))).otherwise(F.array().cast("array<struct<check:string,pattern:string,severity:string,line:int>>")) for c, p, s, m in kept if m is not None]
-    return docs.select("doc_id", F.explode(F.concat(*by_line, *dense)).alias("x")).select("doc_id", "x.*")
-
-
 def quick_scan(docs: DataFrame) -> DataFrame:
     """LN-6: (doc_id, type, severity, amount) of five simple signs. The fourth looks for a Han character before a literal
     backslash and 1, which is what the fixed pattern says, so doubled characters don't count."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from proselens.functions import fixed_values as V
 from proselens.operators import emotion, lexicon, stats, style
-from proselens.plans.base import CHAP, COUNT, DENSE, DIV, HAN, N, PHR, SENT, SHAPE, STRIP, STRUCT, WIDE, H
+from proselens.plans.base import CHAP, COUNT, CUT, DENSE, DIV, HAN, N, PHR, SENT, SHAPE, STRIP, STRUCT, WIDE, H
 from proselens.sources.tables import chapters, documents
 
 #: Characters whose pairs are the lexicon of the queries, 420 words: a word list made by rule, as large as a real one.
@@ -34,6 +34,11 @@ def quick(spark, d):
     return style.quick_scan(documents(spark, d))
 
 
+def lint_book(spark, d):
+    books = documents(spark, d).select("doc_id", "book")
+    return lexicon.lint(documents(spark, d), rules(spark)).join(books, "doc_id").groupBy("book").agg(F.count("*").alias("total"), F.count_if(F.col("severity") == "ban").alias("ban"), F.count_if(F.col("severity") == "warn").alias("warn"), F.count_distinct("check").alias("unique_checks"))
+
+
 QUERIES = {
     "em01_windows": lambda s, d: emotion.curve(documents(s, d)),
     "em03_curve_stats": lambda s, d: emotion.summary(documents(s, d)).drop("peaks"),
@@ -49,6 +54,8 @@ QUERIES = {
     "st22_rhythm_report": lambda s, d: emotion.rhythm_report(documents(s, d)).drop("peaks"),
     "st22_rhythm_keywords": lambda s, d: emotion.rhythm_keywords(documents(s, d)),
     "sl07_report": lambda s, d: style.report(documents(s, d), words(s)),
+    "sl09_score_ai_risk": lambda s, d: style.risk(documents(s, d), words(s)),
+    "sl15_phrases": lambda s, d: style.phrases(documents(s, d)),
     "sl08_lexicon": lambda s, d: lexicon.density(documents(s, d), words(s)),
     "sl08_lexicon_top": lambda s, d: lexicon.top(documents(s, d), words(s)),
     "sl10_linguistic": lambda s, d: style.linguistic(documents(s, d)),
@@ -62,6 +69,7 @@ QUERIES = {
     "ln01_rules": lambda s, d: lexicon.lint(documents(s, d), rules(s)).drop("suggestion"),
     "ln04_checks": lambda s, d: lexicon.lint(documents(s, d), rules(s), ["weasel", "dialogue_tags", "unknown"], "info").select("doc_id", "check", "pattern", "line"),
     "ln05_summary": lambda s, d: lexicon.summary(documents(s, d), lexicon.lint(documents(s, d), rules(s))),
+    "ln08_lint_book": lint_book,
     "ln07_issues": lambda s, d: lexicon.lint_short(documents(s, d), lexicon.lint(documents(s, d), rules(s)), quick(s, d))[0],
     "ln07_summary": lambda s, d: lexicon.lint_short(documents(s, d), lexicon.lint(documents(s, d), rules(s)), quick(s, d))[1],
 }
@@ -89,8 +97,9 @@ MATTR = f"mr AS (SELECT doc_id, regexp_extract_all(t, '{HAN}+') AS r FROM h), mx
 FLESCH = f"206.835::DOUBLE - 1.015::DOUBLE * ({N(WIDE)} / greatest(len({SENT(2)}), 1)::DOUBLE) - 8.46::DOUBLE"
 PAIRS = f"ch AS (SELECT string_split('{ALPHABET}', '') AS c), pr AS (SELECT (row_number() OVER (ORDER BY i, j) - 1)::INT AS k, c[i] || c[j] AS word FROM ch, range(1, {len(ALPHABET)} + 1) x(i), range(1, {len(ALPHABET)} + 1) y(j) WHERE i <> j), lex AS (SELECT word, {LISTED(KINDS)}[k % 7 + 1] AS category, ['ban', 'warn', 'limit'][k % 3 + 1] AS severity FROM pr)"
 HITS = "lh AS (SELECT doc_id, word, category, severity, (length(t) - length(replace(t, word, ''))) // 2 AS n FROM h, lex WHERE contains(t, word))"
-LBL = f"lb AS (SELECT h.doc_id, coalesce(sum(n), 0)::INT AS blacklist_total_hits, coalesce(sum(n), 0) * 100 / any_value({DENSE}) AS blacklist_density FROM h LEFT JOIN lh USING (doc_id) GROUP BY h.doc_id)"
-OVER = f"ov AS (SELECT doc_id, k, word, (length(t) - length(replace(t, word, ''))) // length(word) AS count, ((length(t) - length(replace(t, word, ''))) // length(word)) * 1000 / {DENSE} AS rate FROM h, (SELECT unnest({LISTED(V.OVERUSED)}) AS word, unnest(range({len(V.OVERUSED)})) AS k)), ou AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY round(rate, 2) DESC, k) - 1)::INT AS rank, word, count::INT AS count, round(rate, 2) AS per_1k FROM ov WHERE rate > 2.005::DOUBLE)"
+HAN_OF = f"hn AS MATERIALIZED (SELECT doc_id, t, {DENSE} AS han FROM h)"
+LBL = f"{HAN_OF}, lg AS (SELECT doc_id, sum(n) AS n FROM lh GROUP BY doc_id), lb AS (SELECT doc_id, coalesce(n, 0)::INT AS blacklist_total_hits, coalesce(n, 0) * 100 / han AS blacklist_density FROM hn LEFT JOIN lg USING (doc_id))"
+OVER = f"{HAN_OF}, ov AS (SELECT doc_id, k, word, (length(t) - length(replace(t, word, ''))) // length(word) AS count, ((length(t) - length(replace(t, word, ''))) // length(word)) * 1000 / han AS rate FROM hn, (SELECT unnest({LISTED(V.OVERUSED)}) AS word, unnest(range({len(V.OVERUSED)})) AS k)), ou AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY round(rate, 2) DESC, k) - 1)::INT AS rank, word, count::INT AS count, round(rate, 2) AS per_1k FROM ov WHERE rate > 2.005::DOUBLE)"
 RULE = f"{PAIRS}, ru AS (SELECT {LISTED(CHECKS)}[(k // 8) % 5 + 1] AS chk, word, ['ban', 'warn', 'info'][(k // 8) % 3 + 1] AS severity FROM pr WHERE k % 8 = 0)"
 ISSUES = (
     rf"ll AS (SELECT doc_id, x, i FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM h), unnest(ls) WITH ORDINALITY AS u(x, i)), il AS (SELECT doc_id, chk, word, severity, i::INT AS line, left({STRIP('x')}, 80) AS context, NULL::INT AS count, NULL::DOUBLE AS per_1k FROM ll JOIN ru ON contains(x, word) WHERE chk NOT IN ('adverb_abuse', 'dialogue_tags')), "
@@ -121,6 +130,9 @@ SQL = {
     "st22_rhythm_report": f"WITH {H}, {BODY}, {SEG}, x AS (SELECT doc_id, list(intensity ORDER BY i) AS c FROM sc GROUP BY doc_id), y AS (SELECT doc_id, c, list_reduce(list_prepend(0::DOUBLE, c), lambda a, v: a + v) / 40 AS m FROM x) SELECT doc_id, m AS avg_intensity, len(list_filter(c, lambda v: v >= CASE WHEN m > 0 THEN m * 1.5::DOUBLE ELSE 0.5 END AND v > 0.2::DOUBLE))::INT AS peak_count FROM y",
     "st22_rhythm_keywords": f"WITH {H}, {BODY}, {SEG}, {TOP('sg', BOTH)}",
     "sl07_report": f"WITH {H}, {DIV}, {SHAPE}, {STRUCT}, {PAIRS}, {HITS}, {LBL}, {PHR} SELECT dv.*, sh.* EXCLUDE (doc_id), len(f)::INT AS structure_pattern_count, array_to_string(f, ',') AS structure_patterns, lb.* EXCLUDE (doc_id), ph.* EXCLUDE (doc_id) FROM dv JOIN sh USING (doc_id) JOIN st USING (doc_id) JOIN lb USING (doc_id) JOIN ph USING (doc_id)",
+    "sl09_score_ai_risk": f"WITH {H}, {DIV}, {SHAPE}, {STRUCT}, {PAIRS}, {HITS}, {LBL}, {PHR}, s AS (SELECT dv.doc_id, {CUT('(0.6::DOUBLE - ttr) * 250::DOUBLE')} AS ttr, {CUT('(0.7::DOUBLE - sentence_len_cv) * 250::DOUBLE')} AS sentence_variance, least(100, len(f) * 20)::INT AS structure, least(100, trunc(blacklist_density * 15::DOUBLE)::INT) AS blacklist, {CUT('(repetition_score - 0.3::DOUBLE) * 250::DOUBLE')} AS repetition, least(100, phrase_repetition_score)::INT AS phrase_rep FROM dv JOIN sh USING (doc_id) JOIN st USING (doc_id) JOIN lb USING (doc_id) JOIN ph USING (doc_id)), z AS (SELECT *, 4 * ttr + 3 * sentence_variance + 3 * structure + 4 * blacklist + 3 * repetition + 3 * phrase_rep AS total FROM s) SELECT * EXCLUDE (total), CASE WHEN total < 600 THEN 'low' WHEN total < 1200 THEN 'middle' ELSE 'high' END AS verdict, round_even(total / 20::DOUBLE, 0)::INT AS total_score FROM z",
+    "sl15_phrases": f"WITH {H}, {PHR} SELECT * FROM ph",
+    "ln08_lint_book": f"WITH {H}, {RULE}, {ISSUES} SELECT book, count(*) AS total, count(*) FILTER (severity = 'ban') AS ban, count(*) FILTER (severity = 'warn') AS warn, count(DISTINCT chk) AS unique_checks FROM iss JOIN h USING (doc_id) WHERE severity <> 'info' GROUP BY book",
     "sl08_lexicon": f"WITH {H}, {PAIRS}, {HITS}, {LBL} SELECT * FROM lb",
     "sl08_lexicon_top": f"WITH {H}, {PAIRS}, {HITS}, r AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) - 1)::INT AS rank, word, n::INT AS n FROM lh) SELECT * FROM r WHERE rank < 20",
     "sl10_linguistic": f"WITH {H}, x AS (SELECT doc_id, t, list_transform({SENT(0)}, lambda x: {N(HAN, 'x')}) AS s, regexp_extract_all(t, '{HAN}+') AS r FROM h), y AS (SELECT doc_id, t, r, len(s) AS n, coalesce(list_sum(s), 0) AS a, coalesce(list_sum(list_transform(s, lambda x: x * x)), 0) AS q, {' + '.join(COUNT(w) for w in V.GLAD)} AS g, {' + '.join(COUNT(w) for w in V.SAD)} AS b FROM x) SELECT doc_id, a::DOUBLE / greatest(n, 1) AS avg_sentence_len, CASE WHEN a > 0 THEN sqrt((q * n - a * a)::DOUBLE) / a ELSE 0 END AS sentence_len_cv, len(list_distinct(r))::DOUBLE / greatest(len(r), 1) AS ttr, (g - b)::DOUBLE / greatest(g + b, 1) AS sentiment, {N('[' + V.MARKS.replace(chr(39), chr(39) * 2) + ']')} * 100 / {DENSE} AS punct_density, {N('[' + V.STOP + ']')} / {DENSE} AS stopword_ratio FROM y",

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from proselens.functions import fixed_values as V
 from proselens.operators import consistency, emotion, outline, reviews, stats, store, style
-from proselens.plans import measures, stores
-from proselens.plans.base import BL, CHAP, COUNT, CUT, DENSE, DIV, HAN, LEXICON, N, PARA, PHR, RULES, SENT, SHAPE, STRIP, STRUCT, TENTHS, WIDE, H  # noqa: F401
+from proselens.plans import measures, pages, stores, validation
+from proselens.plans.base import CHAP, COUNT, DENSE, DIV, HAN, N, PARA, SENT, SHAPE, STRIP, STRUCT, WIDE, H
 from proselens.sources.tables import CHINESE, LATIN, chapters, documents, table
 
 #: Operators that fit one call on documents.
@@ -19,12 +19,8 @@ ON_DOCUMENTS = {
     "sl02_diversity": style.diversity,
     "sl04_sentence_shape": style.sentence_shape,
     "sl05_structures": style.structures,
-    "sl08_blacklist_hits": lambda d: style.lexicon_hits(d, LEXICON),
-    "sl08_top_words": lambda d: style.top_words(d, LEXICON, 3),
-    "sl09_score_ai_risk": lambda d: style.risk(d, LEXICON),
     "sl14_weasel": style.weasel,
     "sl15_phrases": style.phrases,
-    "ln01_lint": lambda d: style.lint(d, RULES),
     "bb08_hints": consistency.hints,
     "sl12_repetition": style.repetition,
     "ln06_quick_scan": style.quick_scan,
@@ -37,16 +33,6 @@ MARKERS = [("天", "深夜"), ("王", "3天后"), ("”", "清晨"), ("次", "
 OPINIONS = [("天", "爽快"), ("次", "节奏"), ("王", "不"), ("”", "老套"), ("后", "混乱")]
 
 
-def lint_book(spark, d):
-    issues = style.lint(documents(spark, d), RULES).join(documents(spark, d).select("doc_id", "book"), "doc_id")
-    return issues.groupBy("book").agg(F.count("*").alias("total"), F.count_if(F.col("severity") == "ban").alias("ban"), F.count_if(F.col("severity") == "warn").alias("warn"), F.count_distinct("check").alias("unique_checks"))
-
-
-def coverage(spark, d):
-    points = table(spark, d, "benchmark").select("item_id", F.translate(F.lower("text"), LATIN, CHINESE).alias("text"))
-    return consistency.coverage(documents(spark, d), points)
-
-
 def pairs(spark, d):
     i = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     a, b = i.withColumnRenamed("l_suppkey", "a"), i.withColumnRenamed("l_suppkey", "b")
@@ -57,11 +43,6 @@ def people(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.col("c_mktsegment"), (F.col("c_custkey") % 50).cast("string")).alias("name"))
 
 
-def verdicts(spark, d):
-    t = stats.pacing(documents(spark, d)).join(table(spark, d, "labels"), "doc_id")
-    return store.confusion(t.select(F.lit("pacing").alias("dimension"), (F.col("action_density") < 15).alias("tool_bad"), (F.col("quality") == 0).alias("review_bad")))
-
-
 def swap(c, words):
     for a, b in words:
         c = F.replace(c, F.lit(a), F.lit(b))
@@ -93,13 +74,10 @@ def planned(spark, d):
 
 QUERIES = {k: (lambda spark, d, f=f: f(documents(spark, d))) for k, f in ON_DOCUMENTS.items()} | {
     "st12_count_book": lambda s, d: stats.count_book(chapters(s, d)),
-    "ln08_lint_book": lint_book,
-    "cn05_coverage": coverage,
     "bb03_duplicates": lambda s, d: store.duplicates(people(s, d)),
     "bb04_aliases": lambda s, d: store.aliases(table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.substring("s_name", -3, 3), F.lit("x")).alias("name"))),
     "bb05_graph": lambda s, d: store.graph(pairs(s, d)),
     "bb05_degrees": lambda s, d: store.degrees(pairs(s, d)),
-    "vl06_verdicts": verdicts,
     "cn07_time_marks": lambda s, d: consistency.time_marks(marked(s, d)),
     "cn08_time_issues": lambda s, d: consistency.time_issues(marked(s, d)),
     "cn09_between_chapters": lambda s, d: consistency.time_between_chapters(marked(s, d, chapters)),
@@ -112,11 +90,6 @@ QUERIES = {k: (lambda spark, d, f=f: f(documents(spark, d))) for k, f in ON_DOCU
     "ol04_summarize": lambda s, d: outline.summarize(planned(s, d), outline.checkpoints(outlines(s, d))),
 }
 
-LINT = " UNION ALL ".join(
-    [f"SELECT doc_id, book, '{c}' AS \"check\", '{p}' AS pattern, '{s}' AS severity, i::INT AS line FROM l WHERE contains(x, '{p}')" for c, p, s, m in RULES if m is None and s != "info"]
-    + [f"SELECT doc_id, book, '{c}', '{p}', '{s}', -1 FROM h WHERE {COUNT(p)} * 1000 / greatest({N(HAN)}, 1)::DOUBLE > {m}" for c, p, s, m in RULES if m is not None]
-)
-LINTS = f"l AS (SELECT doc_id, book, x, i FROM (SELECT doc_id, book, string_split(t, chr(10)) AS ls FROM h), unnest(ls) WITH ORDINALITY AS u(x, i)), li AS ({LINT})"
 SPOKEN = "array_to_string(regexp_extract_all(t, '「([^」]*)」', 1), '') || array_to_string(regexp_extract_all(t, '“([^”]*)”', 1), '')"
 ONCE = lambda ws: " + ".join(f"contains(t, '{w}')::INT" for w in ws)
 PAT = lambda k: " + ".join(N(p) for c, p in V.WEASEL_PATTERNS if c == k)
@@ -141,7 +114,6 @@ MARKS = f"mt AS (SELECT doc_id, {_swapped('t', MARKERS)} AS t FROM h), mp AS ({P
 TAGS = "tg AS (SELECT doc_id, list(tag ORDER BY position, ord) AS tags FROM m GROUP BY doc_id), tc AS (SELECT c.book, c.chapter_no, c.doc_id, tags FROM c JOIN tg USING (doc_id))"
 PER = f"({DENSE} / 100)"
 STARTS = f"list_transform(list_filter(list_transform(regexp_split_to_array({STRIP('t')}, '[。！？…]'), lambda x: {STRIP('x')}), lambda x: length(x) > 3), lambda x: left(x, 2))"
-TENTHS_R = " + ".join(f"{round(x * 10)} * {COUNT(w, 'w')}" for w, (_, x) in {**V.EMOTIONS, **V.RHYTHM_EXTRA}.items())
 CHUNKS = lambda c: f"unnest(list_distinct(regexp_extract_all({c}, '{HAN}{{2,5}}')))"
 
 SQL = {
@@ -152,18 +124,12 @@ SQL = {
     "sl02_diversity": f"WITH {H}, {DIV} SELECT * FROM dv",
     "sl04_sentence_shape": f"WITH {H}, {SHAPE} SELECT * FROM sh",
     "sl05_structures": f"WITH {H}, {STRUCT} SELECT doc_id, len(f) AS structure_pattern_count, array_to_string(f, ',') AS structure_patterns FROM st",
-    "sl08_blacklist_hits": f"WITH {H}, {BL} SELECT doc_id, hits AS blacklist_total_hits, dens AS blacklist_density FROM bl",
-    "sl08_top_words": f"WITH {H}, x AS ({' UNION ALL '.join(f'SELECT doc_id, {chr(39)}{w}{chr(39)} AS word, {COUNT(w)} AS n FROM h' for w in dict.fromkeys(LEXICON))}), y AS (SELECT doc_id, word, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) - 1 AS rank FROM x WHERE n > 0) SELECT doc_id, rank::INT AS rank, word, n::INT AS n FROM y WHERE rank < 3",
     "sl14_weasel": f"WITH {H}, x AS (SELECT doc_id, {ONCE(V.WEASEL)} + {PAT('weasel')} AS weasel, {ONCE(V.HEDGE)} + {PAT('hedge')} AS hedge, {PAT('cliche_structure')} AS cliche_structure FROM h) SELECT *, weasel + hedge + cliche_structure AS total_hits FROM x",
-    "ln01_lint": f"WITH {H}, {LINTS} SELECT doc_id, \"check\", pattern, severity, line FROM li",
     "st12_count_book": f"WITH {H}, {CHAP}, x AS (SELECT book, chapter_no, {N(WIDE)} AS n, regexp_matches(right(t, 500), '完|终|…|END') AS e FROM c) SELECT book, count(*) AS chapters, sum(n)::BIGINT AS total_chars, (sum(n) // count(*))::BIGINT AS avg_chars, arg_max(e, chapter_no) AS completed FROM x GROUP BY book",
-    "ln08_lint_book": f"WITH {H}, {LINTS} SELECT book, count(*) AS total, count(*) FILTER (severity = 'ban') AS ban, count(*) FILTER (severity = 'warn') AS warn, count(DISTINCT \"check\") AS unique_checks FROM li GROUP BY book",
-    "cn05_coverage": f"WITH {H}, p AS (SELECT item_id, regexp_extract_all(translate(lower(text), '{LATIN}', '{CHINESE}'), '{HAN}{{2,4}}') AS k FROM benchmark) SELECT doc_id, count(*) AS points, count(*) FILTER (len(list_filter(k, lambda x: contains(t, x))) * 2 >= len(k)) AS covered FROM h, p WHERE len(k) > 0 GROUP BY doc_id",
     "bb03_duplicates": "WITH p AS (SELECT c_custkey AS id, c_mktsegment || (c_custkey % 50)::VARCHAR AS name FROM customer), x AS (SELECT name, lag(id) OVER (PARTITION BY name ORDER BY id) AS prior, id FROM p) SELECT * FROM x WHERE prior IS NOT NULL",
     "bb04_aliases": "WITH p AS (SELECT s_suppkey AS id, right(s_name, 3) || 'x' AS name FROM supplier), q AS (SELECT id, name, left(name, 1) AS f, list_distinct(string_split(name[2:], '')) AS r FROM p), x AS (SELECT a.id AS a, b.id AS b, 40 + least(len(list_intersect(a.r, b.r)) * 15, 30) + CASE WHEN abs(length(a.name) - length(b.name)) <= 1 THEN 10 ELSE 0 END AS score FROM q a JOIN q b ON a.f = b.f AND a.id < b.id) SELECT a, b, score, CASE WHEN score >= 70 THEN 'merge' ELSE 'review' END AS action FROM x WHERE score >= 50",
     "bb05_graph": f"WITH {ORDERS} SELECT * FROM g",
     "bb05_degrees": f"WITH {ORDERS} SELECT node, sum(weight)::BIGINT AS degree FROM (SELECT a AS node, weight FROM g UNION ALL SELECT b, weight FROM g) GROUP BY node",
-    "vl06_verdicts": f"WITH {H}, x AS (SELECT {N('[' + V.ACTION + ']')} * 1000 / {DENSE} < 15 AS tool_bad, quality = 0 AS review_bad FROM h JOIN labels USING (doc_id)) SELECT 'pacing' AS dimension, CASE WHEN tool_bad = review_bad THEN 'matched' WHEN review_bad THEN 'false_negative' ELSE 'false_positive' END AS verdict, count(*) AS n FROM x GROUP BY ALL",
     "ln06_quick_scan": f"WITH {H}, x AS (SELECT doc_id, {N(HAN + '{1,3}地')} / {PER} AS a, {STARTS} AS s, {COUNT('！')} / {PER} AS e, {COUNT('了')} / {PER} AS l FROM h), y AS (SELECT *, len(list_filter(range(1, len(s)), lambda i: s[i] = s[i + 1]))::DOUBLE AS r FROM x) SELECT doc_id, 'adverb_abuse' AS type, 'warn' AS severity, a AS amount FROM y WHERE a > 2 UNION ALL SELECT doc_id, 'repetition', 'warn', r FROM y WHERE r > 1 UNION ALL SELECT doc_id, 'exclamation', 'info', e FROM y WHERE e > 5 UNION ALL SELECT doc_id, 'filler', 'info', l FROM y WHERE l > 8",
     "cn01_names": f"WITH {H}, x AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(t, '{HAN}([，。！？、：；\"」』）)\\s])', '\\1', 'g'), '[{V.SURNAMES}]{HAN}{{1,2}}')) AS name FROM h), y AS (SELECT doc_id, name, count(*) AS n, name IN ('王宁', '安平', '红沉') AS known FROM x GROUP BY doc_id, name) SELECT * FROM y WHERE known OR n >= 2",
     "cn01_surnames": f"WITH {H}, x AS (SELECT doc_id, left(unnest(regexp_extract_all(t, '(?s)[{V.SURNAMES}](?:[^一-鿿]|$)')), 1) AS surname FROM h) SELECT doc_id, surname, count(*) AS n FROM x GROUP BY ALL HAVING count(*) >= 3",
@@ -176,6 +142,6 @@ SQL = {
     "ht09_clean_titles": "SELECT p_partkey AS id, trim(p_name) AS title FROM part",
 }
 
-for part in (stores, measures):
+for part in (stores, measures, validation, pages):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
