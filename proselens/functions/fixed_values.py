@@ -121,3 +121,19 @@ DIMENSION_MODULE = {"pacing": "pacing", "character_consistency": "stats", "ai_sc
 THRESHOLDS = {"pacing": ("action_density", "lt", 15), "readability": ("readability.flesch_zh", "lt", 30), "emotion_arc": ("intensity_variance", "lt", 0.08), "redundancy": ("summary.total", "gte", 1), "ai_score": ("total_score", "gt", 20), "template_score": ("template_score", "gt", 30)}
 DIMENSION_MAP = {"节奏": "pacing", "拖": "pacing", "水文": "pacing", "角色崩": "character_consistency", "人设": "character_consistency", "AI": "ai_score", "套路": "template_score", "模板": "template_score", "读不下去": "readability", "太绕": "readability", "情绪": "emotion_arc", "平淡": "emotion_arc", "啰嗦": "redundancy", "废话": "redundancy", "时间混乱": "timeline", "bug": "timeline", "跑题": "outline_deviation", "大纲": "outline_deviation"}
 CONFIDENCE = {"matched": 0.9, "false_negative": 0.85, "false_positive": 0.7}
+
+# Sites, the container of their chapter lists and of their chapters (by class or id), how links are meant.
+SITE_RULES = {
+    "bqglll.cc": ("class", "listmain", "id", "chaptercontent", "same"),
+    "biquge.com.cn": ("id", "list", "id", "content", "same"),
+    "biquge.info": ("class", "box_con", "id", "content", "same"),
+    "biqukan.com": ("class", "listmain", "id", "content", "same"),
+    "bqg5200.com": ("id", "readerlist", "id", "content", "same"),
+    "23qb.com": ("id", "chapterList", "id", "TextContent", "same"),
+    "biqudu.com": ("class", "box_con", "id", "content", "same"),
+    "biquge.tv": ("class", "box_con", "id", "content", "same"),
+    "xbiquge.la": ("class", "box_con", "id", "content", "same"),
+}
+SKIP_HOME = ["首页", "排行", "分类", "搜索", "关于", "登录", "注册", "更多", "全部", "书库", "书架"]
+SKIP_CHAPTER = ["首页", "上一页", "下一页", "末页", "返回", "目录", "next", "prev", "home", ">>", "<<"]
+SCRIPT_REMAINS = [r"document\.write.*", r"function\s+\w+\([^)]*\).*", r"if\s*\(.*?\).*", r"var\s+\w+.*"]
