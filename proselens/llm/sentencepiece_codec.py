@@ -212,7 +212,7 @@ class Pieces:
             at, who = s[going], who[going]
         return token[token >= 0], has
 
-    def coded_pretokens(self, words: list[str], batch: int = 512 << 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def coded_pretokens(self, words: list[str], batch: int = 256 << 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of any distinct pre-tokens, as one array, and where in it each one's start and how many they are.
 
         Marks before the last one merge among themselves after all else has merged. Pre-tokens are independent, so they
@@ -300,7 +300,7 @@ class Memo:
         return self.flat[np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
-def encode(docs: DataFrame, model: str, most: int = 2 << 20, memo: int = 1_000_000) -> DataFrame:
+def encode(docs: DataFrame, model: str, most: int = 1 << 20, memo: int = 400_000) -> DataFrame:
     """(doc_id, n_tokens, ids array<int>, decoded) of each row of docs(doc_id, text); other columns are left out.
 
     A task takes its rows in batches of about `most` characters, indexes the pre-tokens that it hasn't met, and keeps
