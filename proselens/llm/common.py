@@ -20,14 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir), or a new local one where none is set, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a new local one if Spark runs in one process,
+    as in tests, and an error otherwise, since executors don't share local folders."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir")
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        found = sc.getCheckpointDir()
-        if not found:
-            found = tempfile.mkdtemp(prefix="proselens-")
-            sc.setCheckpointDir(found)
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="proselens-")
+        sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
