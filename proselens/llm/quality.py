@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proselens.llm.common import SPACE, table
+from proselens.llm.common import SPACE, free_name, others, table
 
 WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]"
-#: A line that says one of these is boilerplate if it is short.
-BOILERPLATE = r"(?i)\b(cookies? (policy|settings|consent)|privacy policy|terms of (use|service)|all rights reserved|enable javascript|lorem ipsum|sign (in|up) (to|for)|log ?in to|subscribe to our|share (this|on) |click here|read more|back to top|powered by)\b"
+#: A line that says one of these (English, German, Spanish, French) is boilerplate if it is short.
+BOILERPLATE = r"(?iu)\b(cookies? (policy|settings|consent)|privacy policy|terms of (use|service)|all rights reserved|enable javascript|lorem ipsum|sign (in|up) (to|for)|log ?in to|subscribe to our|share (this|on) |click here|read more|back to top|powered by|alle rechte vorbehalten|datenschutzerklärung|impressum|cookie-einstellungen|nutzungsbedingungen|weiterlesen|hier klicken|nach oben|todos los derechos reservados|política de (privacidad|cookies)|aviso legal|leer más|haz clic|iniciar sesión|volver arriba|tous droits réservés|politique de confidentialité|mentions légales|conditions d'utilisation|lire la suite|cliquez ici|haut de page)\b"
 #: A line of separated labels, such as Home | News | Contact, or a trail of arrows.
 NAVIGATION = r"^[^.!?]{1,40}(\s*[|»›>•·/]\s*[^.!?|»›>•·/]{1,40}){2,}$"
 #: Marks repeated (!!, ??, %%%, ***) and runs of symbols are no punctuation of prose.
@@ -40,29 +40,30 @@ def judge(docs: DataFrame, text: str = "text", window: int = 8, least_words: int
     A null text has no words, fails the base and stays null in cleaned. Columns of docs with these names are replaced.
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "kept_chars", "base_failed", "kept", "cleaned"]
-    own = [c for c in docs.columns if c not in new]
+    own = others(docs, *new)
+    w, l, k, h, s, p = (free_name(x, docs) for x in ("__w", "__l", "__k", "__h", "__s", "__p"))
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(t, "\n", -1)
     with_word = F.filter(lines, lambda x: x.rlike(WORD))
     chars = lambda c: F.char_length(F.translate(c, WHITE, "")).cast("long")
-    one = docs.select(*own, F.filter(F.split(t, SPACE), lambda w: w != "").alias("__w"), with_word.alias("__l"), F.filter(lines, lambda x: ~line_fails(x)).alias("__k"))
+    one = docs.select(*own, F.filter(F.split(t, SPACE), lambda x: x != "").alias(w), with_word.alias(l), F.filter(lines, lambda x: ~line_fails(x)).alias(k))
     two = one.select(
         *own,
-        F.size("__w").cast("long").alias("n_words"),
+        F.size(w).cast("long").alias("n_words"),
         chars(t).alias("word_chars"),
         (F.char_length(t) - F.char_length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col(text).isNotNull(), F.array_join("__k", "\n")).alias("cleaned"),
-        F.when(F.size("__w") < window, F.array().cast("array<bigint>"))
-        .otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size("__w") - window, F.lit(0))), lambda i: F.xxhash64(*[F.get("__w", i + j) for j in range(window)])))
-        .alias("__h"),
+        (F.size(l) - F.size(F.array_distinct(l))).cast("long").alias("n_dup_lines"),
+        F.when(F.col(text).isNotNull(), F.array_join(k, "\n")).alias("cleaned"),
+        F.when(F.size(w) < window, F.array().cast("array<bigint>"))
+        .otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - window, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(window)])))
+        .alias(h),
     )
     # Windows by hash and place; only documents in which a hash repeats are sorted at all.
-    pairs = F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    three = two.withColumn("__s", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), pairs))
-    twin = lambda x, k: F.coalesce(F.get("__s", k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("__s", k + 1)["h"] == x["h"], F.lit(False))
-    four = three.withColumn("__p", F.sort_array(F.transform(F.filter("__s", twin), lambda x: x["i"])))
-    cover = F.aggregate(F.transform("__p", lambda p, k: F.least(F.lit(window), F.coalesce(F.get("__p", k + 1) - p, F.lit(window)))), F.lit(0), lambda a, x: a + x)
+    pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    three = two.withColumn(s, F.when(F.size(F.array_distinct(h)) < F.size(h), pairs))
+    twin = lambda x, j: F.coalesce(F.get(s, j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, j + 1)["h"] == x["h"], F.lit(False))
+    four = three.withColumn(p, F.sort_array(F.transform(F.filter(s, twin), lambda x: x["i"])))
+    cover = F.aggregate(F.transform(p, lambda x, j: F.least(F.lit(window), F.coalesce(F.get(p, j + 1) - x, F.lit(window)))), F.lit(0), lambda a, x: a + x)
     five = four.withColumn("n_repeat_words", F.coalesce(cover, F.lit(0)).cast("long")).withColumn("kept_chars", chars(F.coalesce("cleaned", F.lit(""))))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     six = five.withColumn("base_failed", failed)
@@ -88,7 +89,7 @@ lc AS (SELECT doc_id, l, len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0
 bad AS (SELECT doc_id, l, (len(regexp_extract_all(l, '[!?]{2,}|[#*$%&|<>]{2,}')) + len(regexp_extract_all(replace(l, ' | ', ' |  '), '(^|[\x20\x09-\x0D])\|([\x20\x09-\x0D]|$)')) - (CASE WHEN starts_with(l, '|') THEN 1 ELSE 0 END)) * 5 > n
   OR (NOT regexp_matches(right(rtrim(l, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)), 4), '[.!?…:;,。！？][''"”’»)\]]*$') AND n >= 12 AND NOT regexp_matches(l, '[.!?;:,]'))
   OR (n <= 40 AND regexp_matches(l, '^[^.!?]{1,40}(\s*[|»›>•·/]\s*[^.!?|»›>•·/]{1,40}){2,}$'))
-  OR (n <= 30 AND regexp_matches(l, '(?i)\b(cookies? (policy|settings|consent)|privacy policy|terms of (use|service)|all rights reserved|enable javascript|lorem ipsum|sign (in|up) (to|for)|log ?in to|subscribe to our|share (this|on) |click here|read more|back to top|powered by)\b')) AS f FROM lc),
+  OR (n <= 30 AND regexp_matches(l, '(?i)\b(cookies? (policy|settings|consent)|privacy policy|terms of (use|service)|all rights reserved|enable javascript|lorem ipsum|sign (in|up) (to|for)|log ?in to|subscribe to our|share (this|on) |click here|read more|back to top|powered by|alle rechte vorbehalten|datenschutzerklärung|impressum|cookie-einstellungen|nutzungsbedingungen|weiterlesen|hier klicken|nach oben|todos los derechos reservados|política de (privacidad|cookies)|aviso legal|leer más|haz clic|iniciar sesión|volver arriba|tous droits réservés|politique de confidentialité|mentions légales|conditions d''utilisation|lire la suite|cliquez ici|haut de page)\b')) AS f FROM lc),
 kc AS (SELECT doc_id, sum(CASE WHEN f THEN 0 ELSE length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) END)::BIGINT AS k FROM bad GROUP BY doc_id),
 b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(k, 0)::BIGINT AS kept_chars

@@ -2,7 +2,8 @@
 
 Labelled pages count good and bad outcomes of hosts. A host's rate of bad pages is shrunk to its registered domain's,
 that to its suffix's, and that to the corpus's, through beta-binomial priors whose strength each level estimates from
-the spread between its groups. A page is blocked if the lower posterior bound of its host's rate exceeds a limit.
+the spread between its groups. A page is blocked if the lower posterior bound of its host's rate, a quantile of the beta
+posterior, exceeds a limit.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from proselens.llm.common import checkpoint, join_hot, table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path): the host and its subdomains, paths that start so.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+#: Suffixes of two labels below which domains are registered; all others have one label.
+SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "co.kr", "co.in", "co.za", "com.br", "com.cn", "com.mx", "com.tr")
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -43,6 +46,25 @@ def _strength(groups: DataFrame, n: str, k: str) -> float:
     return s.select((1 / F.coalesce(rho, F.lit(0.1)) - 1).alias("m")).first()["m"]
 
 
+def domain_and_suffix(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
+    """The registered domain (a suffix and the label before it) and the suffix of a host, without user and port. An
+    address of numbers is its own domain under the suffix ip; a host that is a suffix is its own domain."""
+    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    parts = F.split(name, r"\.")
+    last = lambda k: F.when(F.size(parts) > k, F.array_join(F.slice(parts, -k, k), ".")).otherwise(name)
+    long, ip = last(2).isin(*suffixes), name.rlike(r"^[0-9]+(\.[0-9]+){3}$|^\[")
+    return F.when(ip, name).when(long, last(3)).otherwise(last(2)), F.when(ip, "ip").when(long, last(2)).otherwise(F.element_at(parts, -1))
+
+
+def lower_bound(a: Column, b: Column, z: float) -> Column:
+    """The quantile of Beta(a + 1, b + 1) that the normal deviate z leaves above, by the expansion of Abramowitz and
+    Stegun (26.5.22), which the added ones keep in its range; within 0.03 of the quantile in the tests."""
+    u, v = 2 * a + 1, 2 * b + 1
+    h, lam = 2 / (1 / u + 1 / v), (z * z - 3) / 6
+    w = z * F.sqrt(h + lam) / h - (1 / v - 1 / u) * (lam + 5 / 6 - 2 / (3 * h))
+    return F.when(h + lam > 0, (a + 1) / (a + 1 + (b + 1) * F.exp(2 * w))).otherwise(0.0)
+
+
 def reputation(pages: DataFrame, labels: DataFrame, z: float = 1.645) -> DataFrame:
     """(host, pages, n, k, mean, bound) of every host of pages(page_id, host). labels(page_id, bad 0/1); nulls don't count.
 
@@ -51,8 +73,8 @@ def reputation(pages: DataFrame, labels: DataFrame, z: float = 1.645) -> DataFra
     seen = pages.groupBy("host").agg(F.count("*").alias("pages"))
     marked = pages.join(labels.where(F.col("bad").isNotNull()), "page_id").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("k"))
     hosts = seen.join(marked, "host", "left").fillna(0, ["n", "k"])
-    parts = F.split("host", r"\.")
-    hosts = checkpoint(hosts.withColumn("domain", F.when(F.size(parts) > 2, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(F.col("host"))).withColumn("suffix", F.element_at(parts, -1)))
+    domain, suffix = domain_and_suffix(F.col("host"))
+    hosts = checkpoint(hosts.withColumns({"domain": domain, "suffix": suffix}))
     domains = checkpoint(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"), F.count("*").alias("dr")))
     suffixes = checkpoint(domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"), F.count("*").alias("sr")))
     mh, md, ms = F.lit(_strength(hosts, "n", "k")), F.lit(_strength(domains, "dn", "dk")), F.lit(_strength(suffixes, "sn", "sk"))
@@ -61,7 +83,8 @@ def reputation(pages: DataFrame, labels: DataFrame, z: float = 1.645) -> DataFra
     suffixes = checkpoint(suffixes.select("suffix", ((ms * top + F.col("sk")) / (ms + F.col("sn"))).alias("sm"), "sr"))
     domains = checkpoint(join_hot(domains, suffixes, "suffix", "sr", domains.count()).select("domain", ((md * F.col("sm") + F.col("dk")) / (md + F.col("dn"))).alias("dm"), "dr"))
     out = join_hot(hosts, domains, "domain", "dr", hosts.count()).withColumn("mean", (mh * F.col("dm") + F.col("k")) / (mh + F.col("n")))
-    return checkpoint(out.withColumn("bound", F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (mh + F.col("n") + 1))).select("host", "pages", "n", "k", "mean", "bound"))
+    bad, good = mh * F.col("dm") + F.col("k"), mh * (1 - F.col("dm")) + F.col("n") - F.col("k")
+    return checkpoint(out.withColumn("bound", lower_bound(bad, good, z)).select("host", "pages", "n", "k", "mean", "bound"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES, limit: float = 0.5, z: float = 1.645) -> DataFrame:
@@ -90,7 +113,7 @@ WITH p AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN translate(regexp_extr
   CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) ELSE '' END AS path FROM pages),
 lab AS (SELECT doc_id AS page_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS bad FROM labels),
 m AS (SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS k FROM p JOIN lab USING (page_id) GROUP BY host),
-h AS (SELECT host, coalesce(n, 0) AS n, coalesce(k, 0) AS k, CASE WHEN len(string_split(host, '.')) > 2 THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE host END AS domain, string_split(host, '.')[-1] AS suffix FROM (SELECT DISTINCT host FROM p) LEFT JOIN m USING (host)),
+h AS (SELECT host, coalesce(n, 0) AS n, coalesce(k, 0) AS k, dm AS domain, sf AS suffix FROM (SELECT host, CASE WHEN ip THEN nm WHEN two IN (SUFFIX_LIST) THEN CASE WHEN len(ps) > 3 THEN array_to_string(ps[-3:], '.') ELSE nm END ELSE two END AS dm, CASE WHEN ip THEN 'ip' WHEN two IN (SUFFIX_LIST) THEN two ELSE ps[-1] END AS sf FROM (SELECT *, string_split(nm, '.') AS ps, CASE WHEN len(string_split(nm, '.')) > 2 THEN array_to_string(string_split(nm, '.')[-2:], '.') ELSE nm END AS two, regexp_matches(nm, '^[0-9]+(\.[0-9]+){3}$|^\[') AS ip FROM (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS nm FROM (SELECT DISTINCT host FROM p)))) LEFT JOIN m USING (host)),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
 lev AS (SELECT 'h' AS l, n, k FROM h WHERE n > 0 UNION ALL SELECT 'd', n, k FROM d WHERE n > 0 UNION ALL SELECT 's', n, k FROM s WHERE n > 0),
@@ -99,9 +122,11 @@ st AS (SELECT l, 1 / CASE WHEN g > 1 AND p * (1 - p) > 0 AND nn - n2 / nn - (g -
 one AS (SELECT coalesce((SELECT m FROM st WHERE l = 'h'), 9) AS mh, coalesce((SELECT m FROM st WHERE l = 'd'), 9) AS md, coalesce((SELECT m FROM st WHERE l = 's'), 9) AS ms, (coalesce(sum(k), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1) AS top FROM s),
 sm AS (SELECT suffix, (ms * top + k) / (ms + n) AS sm FROM s, one),
 dm AS (SELECT domain, (md * sm + k) / (md + n) AS dm FROM d JOIN sm USING (suffix), one),
-hm AS (SELECT host, (mh * dm + k) / (mh + n) AS mean, mh + n AS w FROM h JOIN dm USING (domain), one),
+hm AS (SELECT host, mh * dm + k AS a, mh * (1 - dm) + n - k AS b FROM h JOIN dm USING (domain), one),
+hq AS (SELECT host, a, b, 2 / (1 / (2 * a + 1) + 1 / (2 * b + 1)) AS hh, (1.645::DOUBLE * 1.645::DOUBLE - 3) / 6 AS lam FROM hm),
+hb AS (SELECT host, CASE WHEN hh + lam > 0 THEN (a + 1) / (a + 1 + (b + 1) * exp(2 * (1.645::DOUBLE * sqrt(hh + lam) / hh - (1 / (2 * b + 1) - 1 / (2 * a + 1)) * (lam + 5::DOUBLE / 6 - 2 / (3 * hh))))) ELSE 0 END AS bound FROM hq),
 r(verdict, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 f AS (SELECT DISTINCT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict FROM (SELECT DISTINCT host, path FROM p) x JOIN r ON (x.host = rh OR ends_with(x.host, '.' || rh)) AND starts_with(x.path, rp) GROUP BY host, path)
-SELECT page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (w + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM p JOIN hm USING (host) LEFT JOIN f ON p.host = f.host AND p.path = f.path
-"""
+SELECT page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM p JOIN hb USING (host) LEFT JOIN f ON p.host = f.host AND p.path = f.path
+""".replace("SUFFIX_LIST", ", ".join(f"'{x}'" for x in SUFFIXES))
