@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proselens.llm import decontamination, quality, sentencepiece_codec, simhash, substring_dedup
-from proselens.llm.common import checkpoint, free_name, scratch, table
+from proselens.llm.common import checkpoint, drop_path, free_name, scratch, table
 
 #: 256-bit fingerprints of five-word shingles find candidates; similarity 0.8 of the sets of shingles decides.
 #: Pairs of similarity 0.8 differ in 39 bits with a deviation of 6, so that the radius leaves out about one in 10,000.
@@ -57,15 +57,19 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_duplicates), ("substring dedup", repeated_passages), ("benchmark decontamination", benchmark_passages), ("SentencePiece encoding", encode)]
 
-#: The near-duplicate stage and the encoder can't be written in SQL; tests hold the stages against brute force.
+#: The near-duplicate stage and the encoder can't be written in SQL. Tests hold each operator against brute force, the
+#: near-duplicate stage too, and the stages together against what a small corpus must leave.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. What a stage has written goes when the next one has been; the last stays."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return docs
