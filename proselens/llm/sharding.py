@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from proselens.llm.common import table
+from proselens.llm.common import free_name, others, table
 
 #: The ring's resolution: counts of this many arcs come to the driver, whatever the number of rows.
 ARCS = 1 << 16
@@ -65,16 +65,18 @@ def shard(docs: DataFrame, shards: int = 16, nodes: int = 128, key: str = "doc_i
     """docs with shard (int) and slot (long, gapless from 0 in each shard).
 
     Rows with equal keys share an arc and are told apart by `order`; a null key is a key like any other. Columns of
-    docs called shard or slot are replaced.
+    docs called shard or slot, in any case of letters, are replaced; all others stay.
     """
-    rows = docs.drop("shard", "slot").withColumn("__at", F.xxhash64(key))
-    rows = rows.withColumn("__arc", F.shiftrightunsigned("__at", 48).cast("int"))
-    counts = {r["__arc"]: r["count"] for r in docs.select(F.shiftrightunsigned(F.xxhash64(key), 48).cast("int").alias("__arc")).groupBy("__arc").count().collect()}
-    kind = T.StructType([T.StructField("__arc", T.IntegerType()), T.StructField("__from", T.LongType()), T.StructField("__to", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("__slot", T.LongType())])
+    own = others(docs, "shard", "slot")
+    at, arc, rank, low, high, first, new_shard = (free_name(x, docs) for x in ("__at", "__arc", "__rank", "__from", "__to", "__slot", "__shard"))
+    rows = docs.withColumn(at, F.xxhash64(key))
+    rows = rows.withColumn(arc, F.shiftrightunsigned(at, 48).cast("int"))
+    counts = {r["arc"]: r["count"] for r in docs.select(F.shiftrightunsigned(F.xxhash64(key), 48).cast("int").alias("arc")).groupBy("arc").count().collect()}
+    kind = T.StructType([T.StructField(arc, T.IntegerType()), T.StructField(low, T.LongType()), T.StructField(high, T.LongType()), T.StructField(new_shard, T.IntegerType()), T.StructField(first, T.LongType())])
     laid = docs.sparkSession.createDataFrame(place(counts, shards, nodes), kind)
-    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__arc").orderBy("__at", key, *order)).cast("long") - 1)
-    out = ranked.join(F.broadcast(laid), "__arc").where("__rank >= __from and __rank < __to")
-    return out.withColumn("slot", F.col("__slot") + F.col("__rank") - F.col("__from")).drop("__at", "__arc", "__from", "__to", "__slot", "__rank")
+    ranked = rows.withColumn(rank, F.row_number().over(Window.partitionBy(arc).orderBy(at, key, *order)).cast("long") - 1)
+    out = ranked.join(F.broadcast(laid), arc).where((F.col(rank) >= F.col(low)) & (F.col(rank) < F.col(high)))
+    return out.select(*own, F.col(new_shard).alias("shard"), (F.col(first) + F.col(rank) - F.col(low)).alias("slot"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,8 @@ def test_ring(spark):
     a = {x.doc_id: x.shard for x in sharding.shard(ids, 16).collect()}
     b = {x.doc_id: x.shard for x in sharding.shard(ids, 17).collect()}
     assert sum(a[k] != b[k] for k in a) < 0.1 * len(a)
+    odd = ids.limit(50).selectExpr("*", "1 as __arc", "2 as __SLOT", "3 as Shard", "4 as rank")
+    assert sharding.shard(odd).columns == ["doc_id", "__arc", "__SLOT", "rank", "shard", "slot"] and sharding.shard(odd).where("__arc = 1 and __SLOT = 2").count() == 50
     assert sharding.shard(df.limit(0)).collect() == []
     assert sorted(x.slot for x in sharding.shard(ids.limit(3)).collect()) == [0, 0, 0]
 
