@@ -23,8 +23,8 @@ def _weighed(docs: DataFrame, words: dict[str, tuple[str, float]], parts: Callab
     """(doc_id, length, w, found) of docs(doc_id, text) without front matter: the weights of its parts in tenths, which
     are exact numbers, and how often each word counts.
 
-    An automaton of the words meets each text once, in Arrow batches: seventy-five passes over every window in the JVM
-    took ten times as long. number(length) says how many parts there are, parts(length) which hold a place. No word of
+    An automaton of the words meets each text once, in Arrow batches: a pass over the windows for each word, in the JVM,
+    took some three times as long. number(length) says how many parts there are, parts(length) which hold a place. No word of
     the lexicon overlaps itself, so every occurrence counts.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
