@@ -1,3 +1,7 @@
+import time
+
+import pyarrow as pa
+
 from proselens.operators import pages
 
 LIST = """<div class="listmain extra"><dl><dt><a href="/">首页</a></dt><dd> <a href ="2.html" >第二章 </a> </dd><dd><a href="/look/9/1.html">第一章</a></dd><dd><a href="2.html">again</a></dd><dd><a href="#">none</a></dd></dl></div>
@@ -51,3 +55,13 @@ def test_reviews_and_rendered_pages(spark):
     text = "正文" * 120 + "\nvar x = 1;\n\n\n\n结尾"
     d = spark.createDataFrame([(1, text), (2, "短"), (3, None)], "page_id long, text string")
     assert [r.text for r in pages.rendered_content(d).orderBy("page_id").collect()] == ["正文" * 120 + "\n\n结尾", None, None]
+
+
+def test_links_in_one_pass_over_long_and_deep_pages():
+    start = time.monotonic()
+    flat = "".join(f'<a href="{i}.html">x{i}</a>' for i in range(30000))
+    assert sum(1 for _ in pages.page_links(flat, "http://h/")) == 30000
+    assert time.monotonic() - start < 30  # each link looked for a span among all others: minutes
+    deep = "<b>" * 3000 + '<a href="x"><i>t</i></a><span>s</span>'
+    assert [(x["text"], x["author"]) for x in pages.page_links(deep, None)] == [("t", "s")]
+    assert [x["text"] for x in pages.page_links('<a href="x">' + "<b>" * 3000 + "t", None)] == ["t"]  # a tree's text was recursive
