@@ -71,3 +71,10 @@ def test_links_come_in_bounded_batches(spark):
     rows = spark.createDataFrame([(i, "http://www.bqglll.cc/", '<div class="listmain">' + '<a href="x.html">' + "t" * 1000 + "</a></div>") for i in range(3000)], "page_id long, url string, html string").coalesce(1)
     sizes = pages.links(rows).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect()
     assert sum(r.n for r in sizes) == 3000 and max(r.n for r in sizes) < 1500
+
+
+def test_site_chapter_list_is_whole(spark):
+    html = '<div class="listmain">' + "".join(f'<a href="{i}.html">第{i}章</a>' for i in range(120)) + "</div>"
+    d = spark.createDataFrame([(1, "https://www.bqglll.cc/look/9/", html)], "page_id long, url string, html string")
+    assert [r.chapter_no for r in pages.site_chapter_list(d).orderBy("chapter_no").collect()] == list(range(1, 121))
+    assert pages.site_chapter_list(d, 7).count() == 7
