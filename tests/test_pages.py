@@ -78,3 +78,10 @@ def test_site_chapter_list_is_whole(spark):
     d = spark.createDataFrame([(1, "https://www.bqglll.cc/look/9/", html)], "page_id long, url string, html string")
     assert [r.chapter_no for r in pages.site_chapter_list(d).orderBy("chapter_no").collect()] == list(range(1, 121))
     assert pages.site_chapter_list(d, 7).count() == 7
+
+
+def test_rendered_chapters_are_whole(spark):
+    html = "".join(f'<a href="/tongren/5/{i}.html">c{i}</a>' for i in range(90))
+    d = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    assert sorted(r.chapter_no for r in pages.rendered_chapters(d, "B").collect()) == list(range(90))
+    assert pages.rendered_chapters(d, "B", 7).count() == 7
