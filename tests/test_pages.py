@@ -85,3 +85,14 @@ def test_rendered_chapters_are_whole(spark):
     d = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
     assert sorted(r.chapter_no for r in pages.rendered_chapters(d, "B").collect()) == list(range(90))
     assert pages.rendered_chapters(d, "B", 7).count() == 7
+
+
+def test_category_books_deal_out_no_arrays(spark):
+    html = '<a href="/look/1/">甲书</a><a href="/look/2/">乙书</a><span>张三</span>'
+    d = spark.createDataFrame([(1, "u", html), (2, "u", "<span>张三</span><span>李四</span>"), (3, "u", None)], "page_id long, url string, html string")
+    b = pages.category_books(d, "B")
+    assert [(r.page_id, r.i, r.title, r.author) for r in b.orderBy("i").collect()] == [(1, 0, "甲书", "张三"), (1, 1, "乙书", "")]
+    generate = [x for x in b._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate" in x]
+    assert generate and all("arrays_zip" in x for x in generate)
+    kept = b._jdf.queryExecution().optimizedPlan().toString()
+    assert "get(" not in kept  # a whole array beside each link
