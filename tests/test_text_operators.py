@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from proselens.operators import consistency, emotion, outline, reviews, style
@@ -115,3 +117,35 @@ def test_pages(page, text):
 def test_titles(spark):
     d = spark.createDataFrame([(1, "某书全文免费阅读（完结）"), (2, None)], "id long, title string")
     assert [r.title for r in reviews.clean_titles(d).orderBy("id").collect()] == ["某书", None]
+
+
+def test_outlines_of_many_points_in_seconds(spark):
+    words = ["".join(chr(0x4E00 + (i * 7919 + k * 104729) % 20000) for k in range(2 + i % 4)) for i in range(6000)]
+    points = spark.createDataFrame([(k, ["，".join(words[i : i + 30]) for i in range(0, 6000, 30)]) for k in (1, 2)] + [(3, [])], "outline_id long, points array<string>")
+    texts = [(i, i % 4, "、".join(words[i : i + 3000])) for i in range(400)] + [(900, 1, None)]
+    d = spark.createDataFrame(texts, "doc_id long, outline_id long, text string")
+    start = time.monotonic()
+    got = {r.doc_id: (r.total, r.covered, r.missed, r.extra) for r in outline.compare(d, points).collect()}
+    assert time.monotonic() - start < 20 and len(got) == 201  # every chunk of every point was looked for in every text
+    there = [sum(w in texts[1][2] for w in words[i : i + 30]) for i in range(0, 6000, 30)]
+    assert got[1][:2] == (200, sum(n >= 12 for n in there)) and sum(got[1][1:3]) == 200 and got[900] == (200, 0, 200, None)
+    start = time.monotonic()
+    got = {r.doc_id: (r.points, r.covered) for r in outline.summarize(d, points).collect()}
+    assert time.monotonic() - start < 20 and len(got) == 301 and got[3] == (0, 0) and got[900] == (200, 0)
+
+
+def test_outline_reads_whole_paragraphs(spark):
+    points = spark.createDataFrame([(1, ["雨夜出门"])], "outline_id long, points array<string>")
+    text = "\n\n".join(["山，" * 60 + "雨夜出门"] + [chr(0x4E00 + i) * 60 for i in range(12)])
+    r = outline.compare(spark.createDataFrame([(5, 1, text)], "doc_id long, outline_id long, text string"), points).first()
+    assert (r.covered, r.extra) == (1, [chr(0x4E00 + i) * 50 for i in range(12)])
+
+
+def test_marks_are_made_once_a_text(spark):
+    rows = [(1, "a", 1, "3天后"), (2, "a", 2, "清晨"), (3, "a", 2, "次日"), (4, None, 3, "当天"), (5, "a", 3, None)]
+    d = spark.createDataFrame(rows, "doc_id long, book string, chapter_no int, text string")
+    c = consistency.time_between_chapters(d)
+    assert sorted(tuple(r) for r in c.collect()) == [("a", 2, 2), ("a", 2, 3)]
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("光阴似箭") <= 4  # one look, one split and one extraction of each pattern; the filters had copied them
+    assert consistency._literals(r"(\d+)个?时辰后") == ["时辰后"] and consistency._literals("a|b") == []
