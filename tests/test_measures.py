@@ -1,9 +1,11 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from proselens.functions import fixed_values as V
+from proselens.functions import text as T
 from proselens.operators import consistency, emotion, lexicon, stats, style, validation
 
 
@@ -182,3 +184,11 @@ def test_modules(spark):
     chapters = d.selectExpr("doc_id + 1 as doc_id", "'b' as book", "doc_id as chapter_no", "text")
     log = validation.analyze(chapters.where("text is not null"), lex, rules, "r").collect()
     assert {(r.doc_id, r.module) for r in log} == {(1, m) for m in validation.MODULES} | {(0, "style_lint_book")}
+
+
+def test_batches_are_read_in_slices():
+    b = pa.RecordBatch.from_pydict({"doc_id": list(range(700)), "text": ["宁" * 100] * 699 + [None]})
+    got = [(len(list(texts)), part.num_rows) for part, texts in T.slices([b])]
+    assert got == [(256, 256), (256, 256), (188, 188)]
+    long = pa.RecordBatch.from_pydict({"doc_id": list(range(9)), "text": ["宁" * (1 << 20)] * 9})  # 3 MB each
+    assert [part.num_rows for part, _ in T.slices([long])] == [2, 2, 2, 2, 1]
