@@ -192,3 +192,13 @@ def test_batches_are_read_in_slices():
     assert got == [(256, 256), (256, 256), (188, 188)]
     long = pa.RecordBatch.from_pydict({"doc_id": list(range(9)), "text": ["宁" * (1 << 20)] * 9})  # 3 MB each
     assert [part.num_rows for part, _ in T.slices([long])] == [2, 2, 2, 2, 1]
+
+
+def test_lint_of_short_texts_meets_rules_once(spark):
+    d = spark.createDataFrame([(1, "宁" * 30), (2, "宁" * 3000), (3, None)], "doc_id long, text string")
+    issues = spark.createDataFrame([(1, "cliche", "ban"), (2, "cliche", "ban"), (2, "weasel", "warn")], "doc_id long, check string, severity string")
+    quick = spark.createDataFrame([(1, "filler", "info"), (2, "filler", "info")], "doc_id long, type string, severity string")
+    got = {r.doc_id: (sorted(x.check for x in r.issues), sorted(x.check for x in r.counted)) for r in lexicon.lint_chapters(d, issues, quick).collect()}
+    assert got == {1: (["cliche", "filler"], ["filler"]), 2: (["cliche", "weasel"], ["cliche", "weasel"]), 3: ([], [])}
+    merged, summary = lexicon.lint_short(d, issues, quick)
+    assert merged.count() == 4 and {tuple(r) for r in summary.collect()} == {(1, 1, 0, 0, 1), (2, 2, 1, 1, 0), (3, 0, 0, 0, 0)}
