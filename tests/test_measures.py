@@ -25,6 +25,42 @@ def test_linear_templates_find_what_templates_find(spark):
         assert x.structure_patterns == ",".join(n for n, p in V.STRUCTURES.items() if re.search(p, rows[x.doc_id]))
 
 
+def test_report_is_one_pass(spark):
+    """Against brute force, odd texts included: no row of a text or of a word is shuffled or joined."""
+    letters = ["天", "地", "玄", "黄玄", "。", "！", "…", " ", "\u3000", "\x85", "\x1c", "\n\n", "𠀀", "a", "首先", "不是", "而是"]
+    many = "".join(chr(0x4E00 + k) for k in range(7000))
+    rows = [*texts(5, letters, 40, 300), "", None, "。", "天", " 。 ", many + many[:50] * 3 + many]
+    lex = spark.createDataFrame([("天地",), ("玄玄",), ("玄玄",), ("",)], "word string")
+    out = style.report(frame(spark, rows), lex)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for i, t in enumerate(rows):
+        han = re.findall(T.HAN, t or "")
+        counts = [han.count(c) for c in dict.fromkeys(han)] if len(han) < 7000 else [2 + 3 * (k < 50) for k in range(7000)]
+        once = counts.count(1)
+        grams = {}
+        for n in (3, 4, 5):
+            for k in range(len(han) - n + 1):
+                g = "".join(han[k : k + n])
+                grams[g] = grams.get(g, 0) + 1
+        often = sum(c >= 3 for c in grams.values())
+        hits = sum((t or "").count(w) for w in ("天地", "玄玄"))
+        assert (got[i].words, got[i].ttr, got[i].hapax_ratio) == (len(han), len(counts) / max(len(han), 1), once / max(len(han), 1))
+        assert (got[i].blacklist_total_hits, got[i].blacklist_density) == (hits, hits * 100 / max(len(han), 1))
+        assert (got[i].repeated_phrase_count, got[i].phrase_repetition_score) == (min(50, often), min(20, often) * 5)
+        if t is None:
+            assert got[i].sentence_count is None and got[i].structure_pattern_count == 0
+            continue
+        s = [len(x) for x in (x.strip(T.WHITE) for x in re.split("[。！？…]+", t)) if len(x) > 1]
+        near = 0.0
+        for x, y in zip(s, s[1:]):
+            near += min(x, y) / max(x, y)
+        assert (got[i].sentence_count, got[i].avg_sentence_len, got[i].repetition_score) == (len(s), sum(s) / max(len(s), 1), near / (len(s) - 1) if len(s) > 1 else 0.0)
+        assert got[i].structure_patterns == ",".join(n for n, p in V.STRUCTURES.items() if re.search(p, t))
+
+
 def curve(text):
     """Brute force: every window by counting every word."""
     text = re.sub(r"^---.*?---\n", "", text, flags=re.DOTALL)
