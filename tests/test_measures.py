@@ -3,6 +3,7 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from proselens.functions import fixed_values as V
 from proselens.functions import text as T
@@ -61,6 +62,36 @@ def test_report_is_one_pass(spark):
         assert got[i].structure_patterns == ",".join(n for n, p in V.STRUCTURES.items() if re.search(p, t))
 
 
+ODD = ["天", "黄玄", "。", "！", "…", " ", "\u3000", "\x85", "\x1c", "\n\n", "\n \t\n", "\r", "𠀀", "a", "「", "」", "“", "”", '"', "红", "仿佛", "好像", "走跑", "的", "了", "好", "悲", "，", "---", "\n***\n"]
+
+
+def test_pacing_against_brute_force(spark):
+    rows = [*texts(6, ODD, 60, 300), "", None, "天" * 6, "“天" * 9]
+    got = {r.doc_id: r for r in stats.pacing(frame(spark, rows)).collect()}
+    han = lambda x: len(re.findall(T.HAN, x))
+    for i, t in enumerate(rows):
+        if t is None:
+            assert got[i][1:] == (None,) * 9
+            continue
+        h, d = han(t), han("".join(re.findall("「([^」]*)」", t) + re.findall("“([^”]*)”", t)))
+        p = [x for x in (x.strip(T.WHITE) for x in re.split(r"\n[ \t\n\x0b\f\r]*\n", t)) if len(x) > 5]
+        shown = sum(len(re.findall(x, t)) for x in V.DESCRIPTION)
+        assert (got[i].dialogue_ratio, got[i].narration_ratio, got[i].description_hints) == (d / max(h, 1), (h - d) / max(h, 1), shown)
+        assert (got[i].paragraphs, got[i].avg_paragraph_len, got[i].paragraph_density) == (len(p), sum(map(han, p)) / max(len(p), 1), len(p) * 1000 / max(h, 1))
+        assert (got[i].show_vs_tell, got[i].action_density) == (d / max(h, 1), len(re.findall(f"[{V.ACTION}]", t)) * 1000 / max(h, 1))
+
+
+@pytest.mark.parametrize("opener", ["“", "「"])
+def test_unclosed_speech_is_read_once(spark, opener):
+    """Patterns read such a text once for each opener: a minute and more."""
+    import time
+
+    long = frame(spark, [(opener + "天") * 250000]).withColumn("book", F.lit("b"))
+    at = time.time()
+    assert [r.dialogue_ratio for r in stats.pacing(long).collect()] == [0.0]
+    assert time.time() - at < 20
+
+
 def curve(text):
     """Brute force: every window by counting every word."""
     text = re.sub(r"^---.*?---\n", "", text, flags=re.DOTALL)
