@@ -92,6 +92,24 @@ def test_unclosed_speech_is_read_once(spark, opener):
     assert time.time() - at < 20
 
 
+def test_linguistic_against_brute_force(spark):
+    rows = [*texts(7, ODD, 60, 300), "", None, " 。 ", "天"]
+    out = style.linguistic(frame(spark, rows))
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: r for r in out.collect()}
+    for i, t in enumerate(rows):
+        if t is None:
+            assert (got[i].avg_sentence_len, got[i].punct_density, got[i].stopword_ratio) == (None, None, None)
+            continue
+        s = [len(re.findall(T.HAN, x)) for x in re.split("[。！？…]+", t) if x.strip(T.WHITE)]
+        r, h = re.findall(T.HAN + "+", t), max(len(re.findall(T.HAN, t)), 1)
+        a, q, n = sum(s), sum(x * x for x in s), len(s)
+        good, bad = (sum(t.count(w) for w in ws) for ws in (V.GLAD, V.SAD))
+        assert (got[i].avg_sentence_len, got[i].sentence_len_cv) == (a / max(n, 1), (q * n - a * a) ** 0.5 / a if a else 0.0)
+        assert (got[i].ttr, got[i].sentiment) == (len(set(r)) / max(len(r), 1), (good - bad) / max(good + bad, 1))
+        assert (got[i].punct_density, got[i].stopword_ratio) == (len(re.findall(f"[{V.MARKS}]", t)) * 100 / h, len(re.findall(f"[{V.STOP}]", t)) / h)
+
+
 def curve(text):
     """Brute force: every window by counting every word."""
     text = re.sub(r"^---.*?---\n", "", text, flags=re.DOTALL)
