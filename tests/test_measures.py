@@ -89,6 +89,7 @@ def test_unclosed_speech_is_read_once(spark, opener):
     long = frame(spark, [(opener + "天") * 250000]).withColumn("book", F.lit("b"))
     at = time.time()
     assert [r.dialogue_ratio for r in stats.pacing(long).collect()] == [0.0]
+    assert [r.dialogue_cv for r in style.templates(long).collect()] == [0.0]
     assert time.time() - at < 20
 
 
@@ -110,6 +111,23 @@ def test_linguistic_against_brute_force(spark):
         assert (got[i].punct_density, got[i].stopword_ratio) == (len(re.findall(f"[{V.MARKS}]", t)) * 100 / h, len(re.findall(f"[{V.STOP}]", t)) / h)
 
 
+def test_templates_against_brute_force(spark):
+    """Null texts and books of one chapter included; a text is read by one pass."""
+    rows = [("abc"[i % 3], t) for i, t in enumerate([*texts(8, ODD, 60, 300), *["天" * 9] * 6, None, ""])] + [("d", "天"), ("e", None), ("e", None)]
+    out = style.templates(spark.createDataFrame(rows, "book string, text string"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r.book: r for r in out.collect()}
+    assert set(got) == set("abcde") and got["d"][1:] == got["e"][1:4] + (0,) == (0, 0.0, 0.0, 0)
+    for b in "abc":
+        ts = [t for x, t in rows if x == b and t is not None]
+        o = ["".join(re.findall(T.HAN, t))[:8] for t in ts]
+        d = [len(re.findall('[「"][^」"]+[」"]', t)) / max(max(len(re.findall(T.HAN, t)), 1) / 100, 1.0) for t in ts]
+        n = [len(t) for t in ts if t]
+        cv = lambda x: (sum((v - sum(x) / len(x)) ** 2 for v in x) / len(x)) ** 0.5 / (sum(x) / len(x))
+        assert got[b].repeated_openings == sum(o.count(x) > 1 and len(x) == 8 for x in set(o))
+        assert abs(got[b].length_cv - cv(n)) < 6e-4 and abs(got[b].dialogue_cv - cv(d)) < 6e-4
+
+
 def curve(text):
     """Brute force: every window by counting every word."""
     text = re.sub(r"^---.*?---\n", "", text, flags=re.DOTALL)
